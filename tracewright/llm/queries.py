@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing
+from tracewright.llm import bpe, packing, sharding, urlfilter
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,9 +28,23 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard(documents(spark, sf_dir))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_packing": op1_packing, "op3_bpe": op3_bpe}
+    return {
+        "op1_packing": op1_packing,
+        "op3_bpe": op3_bpe,
+        "op4_sharding": op4_sharding,
+        "op7_urls": op7_urls,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_urls": urlfilter.ORACLE}
