@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing, sharding, urlfilter
+from tracewright.llm import bpe, packing, sharding, simhash, urlfilter
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,12 +37,18 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.near_duplicates(documents(spark, sf_dir))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
         "op3_bpe": op3_bpe,
         "op4_sharding": op4_sharding,
         "op7_urls": op7_urls,
+        "op10_simhash": op10_simhash,
     }
 
 
