@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing, sharding, simhash, urlfilter
+from tracewright.llm import bpe, packing, rangejoin, sharding, simhash, urlfilter
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rangejoin.link(documents(spark, sf_dir, "embeddings"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Query]:
         "op1_packing": op1_packing,
         "op3_bpe": op3_bpe,
         "op4_sharding": op4_sharding,
+        "op5_rangejoin": op5_rangejoin,
         "op7_urls": op7_urls,
         "op10_simhash": op10_simhash,
     }
