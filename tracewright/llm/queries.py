@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing, rangejoin, sharding, simhash, urlfilter
+from tracewright.llm import bpe, packing, rangejoin, sharding, simhash, urlfilter, vptree
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,10 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
 
+def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vptree.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=1.1)
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(documents(spark, sf_dir))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -53,6 +57,7 @@ def queries() -> dict[str, Query]:
         "op4_sharding": op4_sharding,
         "op5_rangejoin": op5_rangejoin,
         "op7_urls": op7_urls,
+        "op9_vptree": op9_vptree,
         "op10_simhash": op10_simhash,
     }
 
