@@ -45,6 +45,12 @@ def test_join_anywhere(text, cut):
     assert ids(ENC.join_texts(*pair)[1]) == plain(text)
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(max_size=120))
+def test_all_characters(text):
+    assert ids(ENC.encode_many([text])[0]) == plain(text)
+
+
 def test_halves_of_random_letters():
     r = random.Random(5)
     for _ in range(50):

@@ -9,6 +9,7 @@ other than the id and the text are ignored; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import re
@@ -27,11 +28,8 @@ VOCABULARY = "byte_bpe_50k.json"
 DOCUMENT_LEAF = 1 << 15
 #: Leaves of stretches that the pre-tokenizer leaves whole, in characters.
 STRETCH_LEAF = 256
-#: Pieces that an encoder remembers; then it starts anew.
-REMEMBERED = 400_000
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-_uneven = re.compile(r"\s ")
 #: Between a non-space and one of these, a pre-token always ends, whatever stands around it.
 _boundary = re.compile(r"(?<=\S)(?=[ \n\t])")
 
@@ -49,6 +47,7 @@ def byte_of_char() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(maxsize=2)
 def token_bytes(path: str) -> list[bytes]:
     """The bytes of each id."""
     with open(path, encoding="utf-8") as f:
@@ -61,92 +60,73 @@ def token_bytes(path: str) -> list[bytes]:
     return out
 
 
+@functools.lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One for each worker process: building it takes longer than encoding many texts."""
+    return Encoder(path)
+
+
 class Encoder:
-    """Encodes whole texts to little-endian unsigned 32-bit ids, remembering pieces between spaces."""
+    """Encodes whole texts to little-endian unsigned 32-bit ids.
+
+    Where the vocabulary's ids are in the order of its merges, the merges run in an engine that goes by rank; it gives
+    the ids of the tokenizers library in less time. Other vocabularies run in that library itself."""
 
     def __init__(self, path: str, stretch_leaf: int = STRETCH_LEAF):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
-        from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         self.bytes = token_bytes(path)
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.special = [x.content for x in self.tok.get_added_tokens_decoder().values()]
+        self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
+        self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pre = regex.compile(PRE_TOKENS)
         self.leaf = stretch_leaf
-        self.known: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        vocab = spec["model"]["vocab"]
+        merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
+        if merged == list(range(256, 256 + len(merged))):
+            import tiktoken
+
+            own = {b: i for i, b in enumerate(self.bytes) if i not in self.special.values()}
+            self.merge = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=own, special_tokens={}).encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            tok = Tokenizer.from_file(path)
+            tok.no_truncation()
+            tok.no_padding()
+            self.merge = lambda text: tok.encode(text, add_special_tokens=False).ids
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
-        parts = [self._pieces(t) for t in texts]
-        self._learn({p[0] for p in parts}, self.first, "")
-        need: set[str] = set()
-        for p in parts:
-            need.update(p[1:])
-        self._learn(need, self.known, " ")
-        get = self.known.__getitem__
-        return [self.first[p[0]] + b"".join(map(get, p[1:])) for p in parts]
-
-    def _pieces(self, text: str) -> list[str]:
-        """The text before the first space, then what stands between spaces; where spaces meet other white space,
-        that stretch stays in one piece, so that each piece starts where a pre-token does."""
-        parts = text.split(" ")
-        if not _uneven.search(text) and not text.startswith(" "):
-            return parts
-        out = [parts[0]]
-        for p in parts[1:]:
-            if not out[-1] or out[-1][-1].isspace():
-                out[-1] += " " + p
-            else:
-                out.append(p)
+        return [array("I", self.ids(t)).tobytes() for t in texts]
+
+    def ids(self, text: str) -> list[int]:
+        """Special tokens first, as the library takes them; then what stands between."""
+        if not any(s in text for s in self.special):
+            return self._between(text)
+        out = []
+        for p in self.parts.split(text):
+            out += [self.special[p]] if p in self.special else self._between(p)
         return out
 
-    def _learn(self, pieces: set[str], known: dict[str, bytes], lead: str) -> None:
-        if len(known) + len(pieces) > REMEMBERED:
-            known.clear()
-        pieces = [p for p in pieces if p not in known]
-        short = [p for p in pieces if len(p) <= self.leaf]
-        for p in pieces:
-            if len(p) > self.leaf:
-                known[p] = self._stretch(lead + p)
-        # One call for all: each piece with a leading space starts a pre-token of its own.
-        if lead:
-            plain = [p for p in short if p and not p[-1].isspace()]
-            for i in range(0, len(plain), 4096):
-                group = plain[i : i + 4096]
-                ids = np.array(self._ids(" " + " ".join(group)), dtype="<u4")
-                ends = np.cumsum(self.lengths[ids])
-                cuts = np.searchsorted(ends, np.cumsum([len(p.encode()) + 1 for p in group]), side="left") + 1
-                start, raw = 0, ids.tobytes()
-                for p, end in zip(group, (cuts * 4).tolist(), strict=True):
-                    known[p] = raw[start:end]
-                    start = end
-            short = [p for p in short if not (p and not p[-1].isspace())]
-        for p in short:
-            known[p] = array("I", self._ids(lead + p)).tobytes()
-
-    def _ids(self, text: str) -> list[int]:
-        return self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids
-
-    def _stretch(self, text: str) -> bytes:
-        """A long text without a safe place to cut: pre-tokens on their own, the long ones among them by halves."""
-        if any(s in text for s in self.special):
-            return array("I", self._ids(text)).tobytes()
-        out, run = array("I"), ""
+    def _between(self, text: str) -> list[int]:
+        if len(text) <= self.leaf or max(map(len, text.split(" "))) < self.leaf and " " * self.leaf not in text:
+            return self.merge(text)
+        # There may be long stretches that the pre-tokenizer leaves whole: those by halves.
+        out: list[int] = []
         for p in self.pre.findall(text):
             if len(p) <= self.leaf:
-                out.extend(self._ids(p))
+                out += self.merge(p)
             else:
-                out.extend(self.by_halves(p))
-        return out.tobytes()
+                out += self.by_halves(p)
+        return out
 
     def by_halves(self, text: str) -> list[int]:
         """The ids of one pre-token: leaves in parallel, then joined pairwise up the tree."""
         leaves = [text[i : i + self.leaf] for i in range(0, len(text), self.leaf)]
-        level = [e.ids for e in self.tok.encode_batch_fast(leaves, add_special_tokens=False)]
+        level = [self.merge(x) for x in leaves]
         while len(level) > 1:
             level = [self.joined(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         return level[0] if level else []
@@ -163,7 +143,7 @@ class Encoder:
                 text = None
             whole_left, whole_right = k >= len(left), k >= len(right)
             if text is not None:
-                w = self._ids(text)
+                w = self.merge(text)
                 if (whole_left or w[:2] == a[:2]) and (whole_right or w[-2:] == b[-2:]):
                     return left[: len(left) - len(a)] + w + right[len(b) :]
             if whole_left and whole_right:
@@ -226,7 +206,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
 
 def _encode_rows(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = Encoder(path)
+        enc = encoder(path)
         for b in batches:
             ids = enc.encode_many(b.column("text").to_pylist())
             names = [n for n in b.schema.names if n != "text" or "pos" in b.schema.names]
@@ -236,16 +216,13 @@ def _encode_rows(path: str):
 
 
 def _join_rows(path: str):
-    encoders: list[Encoder] = []
-
     def run(rows):
-        if not encoders:
-            encoders.append(Encoder(path))
+        enc = encoder(path)
         copies = int((rows["pos"] == 0).sum())
         rows = rows.drop_duplicates("pos").sort_values("pos")
         level = list(zip(rows["text"], map(bytes, rows["ids"]), strict=True))
         while len(level) > 1:
-            level = [encoders[0].join_texts(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+            level = [enc.join_texts(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
         one = rows.iloc[:1][["id"]].assign(ids=[level[0][1]])
         return one.loc[one.index.repeat(copies)]
 

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.bpe import Encoder, vocabulary_path
+from tracewright.llm.bpe import encoder, vocabulary_path
 from tracewright.llm.common import materialize, text_batches
 
 WINDOW = 2048
@@ -129,7 +129,7 @@ def _first(path: str, window: int, end_id: int, pool_size: int, id_type):
     id_arrow, end = to_arrow_type(id_type), array("I", [end_id]).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, pool = Encoder(path), _Pool()
+        enc, pool = encoder(path), _Pool()
         base, made = TaskContext.get().partitionId() << 36, 0
 
         def emit(everything: bool = False) -> list[tuple]:
