@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing, rangejoin, sharding, simhash, urlfilter, vptree
+from tracewright.llm import bpe, packing, quality, rangejoin, sharding, simhash, toxicity, urlfilter, vptree
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    out = toxicity.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bpe.decode(bpe.encode(documents(spark, sf_dir)))
     return out.select(
@@ -41,6 +48,14 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = quality.train(docs, quality.grades(documents(spark, sf_dir, "labels")))
+    out = quality.rate(docs.select("doc_id", "text"), model, grade=1)
+    kept = (F.col("tail_probability") >= 0.5).alias("kept")
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "expected_grade", "tail_probability", kept)
+
+
 def op9_vptree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vptree.nearest(documents(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, factor=1.1)
 
@@ -53,10 +68,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_packing": op1_packing,
+        "op2_toxicity": op2_toxicity,
         "op3_bpe": op3_bpe,
         "op4_sharding": op4_sharding,
         "op5_rangejoin": op5_rangejoin,
         "op7_urls": op7_urls,
+        "op8_quality": op8_quality,
         "op9_vptree": op9_vptree,
         "op10_simhash": op10_simhash,
     }
