@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, packing, quality, rangejoin, sharding, simhash, toxicity, urlfilter, vptree
+from tracewright.llm import bpe, packing, pii, quality, rangejoin, sharding, simhash, toxicity, urlfilter, vptree
 from tracewright.llm.common import documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -44,6 +44,12 @@ def op5_rangejoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rangejoin.link(documents(spark, sf_dir, "embeddings"))
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(documents(spark, sf_dir).select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x.kind == kind)).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.listed("base"), 256).alias("base_sha256"), pii.listed("spans").alias("spans"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(documents(spark, sf_dir, "pages"), urlfilter.rule_table(spark))
 
@@ -72,6 +78,7 @@ def queries() -> dict[str, Query]:
         "op3_bpe": op3_bpe,
         "op4_sharding": op4_sharding,
         "op5_rangejoin": op5_rangejoin,
+        "op6_pii": op6_pii,
         "op7_urls": op7_urls,
         "op8_quality": op8_quality,
         "op9_vptree": op9_vptree,
