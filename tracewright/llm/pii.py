@@ -1,7 +1,7 @@
 """Personal data by weak supervision, DataFrame functions only.
 
-Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Wider patterns propose more spans; regex,
-checksum, gazetteer and context labelers vote on each; expectation-maximisation over the counts of their vote patterns
+Base patterns find e-mail addresses, IPv4 addresses, card and phone numbers. Wider patterns propose more spans (as cards
+only numbers with a right check digit); regex, gazetteer and context labelers vote on each; expectation-maximisation over the counts of their vote patterns
 estimates how reliable each labeler is, the base spans being known cases; and a logistic span classifier trained on the
 resulting probabilities decides which proposals are added. Base spans always stay.
 
@@ -49,7 +49,7 @@ ISSUERS = r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65|35|62)"
 PHONE_SHAPE = r"^(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$|^0[0-9]{2,4}[ -][0-9]{3,4}[ -]?[0-9]{3,4}$"
 MAIL_ENDS = r"\.(?:com|org|net|edu|gov|io|de|fr|es|uk|eu)$"
 DATES = r"(?:19|20)[0-9]{2}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2} ?- ?(?:19|20)[0-9]{2}"
-LABELERS = ["shape", "checksum", "gazetteer", "context", "against"]
+LABELERS = ["shape", "gazetteer", "context", "against"]
 
 
 def _sql(s: str) -> str:
@@ -94,7 +94,6 @@ def _proposal(kind: str, base: bool) -> str:
         "card": f"case when x.value rlike '^[0-9]{{13,19}}$' or x.value rlike '^[0-9]{{4}}([ -])[0-9]{{4,6}}([ -])[0-9]{{4,5}}([ -]?[0-9]{{4}})?$' then 1 else -1 end",
         "phone": f"case when x.value rlike {_sql(PHONE_SHAPE)} or x.value like '+%' then 1 when x.value rlike '^[0-9]+$' then 0 else -1 end",
     }[kind]
-    checksum = f"case when luhn_check({_digits}) then 1 else -1 end" if kind == "card" else "0"
     gazetteer = {
         "email": f"case when lower(x.value) rlike {_sql(MAIL_ENDS)} then 1 else 0 end",
         "card": f"case when {_digits} rlike {_sql(ISSUERS)} then 1 else -1 end",
@@ -105,7 +104,7 @@ def _proposal(kind: str, base: bool) -> str:
     size = f"length({_digits})" if kind != "email" else "0"
     groups = r"size(split(x.value, '[ ().-]+'))"
     return (
-        f"named_struct('kind', '{kind}', 'start', x.start, 'end', x.`end`, 'base', {str(base).lower()}, 'shape', {shape}, 'checksum', {checksum}, "
+        f"named_struct('kind', '{kind}', 'start', x.start, 'end', x.`end`, 'base', {str(base).lower()}, 'shape', {shape}, "
         f"'gazetteer', {gazetteer}, 'context', {context}, 'against', {against}, 'digits', {size}, 'groups', least({groups}, 6))"
     )
 
@@ -124,7 +123,7 @@ def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     clear = "not exists(base, b -> b.start < x.`end` and x.start < b.`end`)"
     parts = [F.expr(f"transform(_{k}, x -> {_proposal(k, True)})") for k in ("email", "card", "phone")]
     parts += [
-        F.expr(f"transform(filter(_number, x -> length({_digits}) between 13 and 19 and {clear}), x -> {_proposal('card', False)})"),
+        F.expr(f"transform(filter(_number, x -> length({_digits}) between 13 and 19 and luhn_check({_digits}) and {clear}), x -> {_proposal('card', False)})"),
         F.expr(f"transform(filter(_number, x -> length({_digits}) between 7 and 12 and {clear}), x -> {_proposal('phone', False)})"),
         F.expr(f"transform(filter(_spelt, x -> {clear}), x -> {_proposal('email', False)})"),
     ]
