@@ -69,4 +69,4 @@ def test_near_duplicates(spark, monkeypatch):
 def test_fingerprint():
     for t in ("", "a", "A b", "a b c d e f g", "Ä ö\x0bz \x85q", "w " * 500):
         assert simhash.fingerprint(simhash.shingle_hashes(t, 3)) == plain_fp(t)
-    assert simhash.spanning(np.array([1, 3], dtype="u8"), np.array([1, 3, 255], dtype="u8"), 1) == ([0], [1])
+    assert simhash.spanning(np.array([[1], [3]], dtype="u8"), np.array([[1], [3], [255]], dtype="u8"), 1) == ([0], [1])

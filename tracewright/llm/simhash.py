@@ -110,7 +110,7 @@ def links(fps: DataFrame, max_distance: int = 2, blocks: int = 4) -> DataFrame:
         side = (rows["own"] == rows["i"]).to_numpy()
         within = bool((rows["i"] == rows["j"]).all())
         a, b = (fp, fp) if within else (fp[side], fp[~side])
-        found = spanning(a.view(np.uint64), b.view(np.uint64), max_distance)
+        found = spanning(a.view(np.uint64)[:, None], b.view(np.uint64)[:, None], max_distance)
         return pd.DataFrame({"src": a[found[0]], "dst": b[found[1]]})
 
     rest = many.groupBy("k", "v", "i", "j").applyInPandas(forest, "src long, dst long")
@@ -118,10 +118,11 @@ def links(fps: DataFrame, max_distance: int = 2, blocks: int = 4) -> DataFrame:
 
 
 def spanning(a: np.ndarray, b: np.ndarray, max_distance: int) -> tuple[list[int], list[int]]:
-    """Positions in a and b of links that join all that links between them join."""
-    root: dict[int, int] = {}
+    """Positions in a and b (fingerprints as rows of 64-bit words) of links that join all that links between them join."""
+    root: dict[bytes, bytes] = {}
+    names = [x.tobytes() for x in b]
 
-    def find(x: int) -> int:
+    def find(x: bytes) -> bytes:
         while (up := root.get(x, x)) != x:
             root[x] = root.get(up, up)
             x = root[x]
@@ -129,8 +130,9 @@ def spanning(a: np.ndarray, b: np.ndarray, max_distance: int) -> tuple[list[int]
 
     left, right = [], []
     for i, x in enumerate(a):
-        for j in np.flatnonzero(np.bitwise_count(b ^ x) <= max_distance).tolist():
-            p, q = find(int(x)), find(int(b[j]))
+        name = x.tobytes()
+        for j in np.flatnonzero(np.bitwise_count(b ^ x).sum(axis=1) <= max_distance).tolist():
+            p, q = find(name), find(names[j])
             if p != q:
                 root[q] = p
                 left.append(i)
