@@ -126,9 +126,9 @@ def slug(text: Column) -> Column:
 
 
 def cut(text: Column, most: int = 250) -> Column:
-    """At most so many characters on one line, the last three being dots where something is cut off."""
+    """At most so many characters on one line, ending with an ellipsis where something is cut off."""
     t = squeezed(text)
-    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(most - 3))), F.lit("...")))
+    return F.when(F.length(t) <= most, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(most - 1))), F.lit("\u2026")))
 
 
 def yes_no(value: Column) -> Column:
