@@ -82,7 +82,7 @@ def ocr_text(text: Column) -> Column:
 
 
 def requests(moments: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
-    """``run_id, chunk, frames, text``: what each chunk asks a model to read, frame by frame."""
+    """``run_id, chunk, frames, parts, text``: what each chunk asks a model to read, part by part and as one text."""
     rows = moments
     if ocr is not None:
         rows = rows.join(ocr.select("run_id", "index", F.col("text").alias("_ocr")), ["run_id", "index"], "left")
@@ -97,4 +97,4 @@ def requests(moments: DataFrame, ocr: DataFrame | None = None) -> DataFrame:
     )
     item = F.struct("start", F.col("index").alias("i"), body.alias("b"))
     per = rows.groupBy("run_id", "chunk").agg(F.sort_array(F.collect_list(item)).alias("x"))
-    return per.select("run_id", "chunk", F.transform("x", lambda x: x.i).alias("frames"), F.array_join(F.transform("x", lambda x: x.b), "\n\n").alias("text"))
+    return per.select("run_id", "chunk", F.transform("x", lambda x: x.i).alias("frames"), F.transform("x", lambda x: x.b).alias("parts"), F.array_join(F.transform("x", lambda x: x.b), "\n\n").alias("text"))
