@@ -79,12 +79,13 @@ def estimated_words(segments: DataFrame) -> DataFrame:
     takes its share of the characters of the segment's time, rounded to milliseconds; the last ends with it."""
     text = F.trim(F.regexp_replace("text", r"(?U)\s+", " "))
     words = F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
-    size = F.aggregate("_words", F.lit(0), lambda a, w: a + F.length(w))
+    out = segments.select("*", F.posexplode(words).alias("word_pos", "word"))
+    of = Window.partitionBy("run_id", "pos")
+    upto, total = F.sum(F.length("word")).over(of.orderBy("word_pos")), F.sum(F.length("word")).over(of)
     span = F.greatest(F.col("end") - F.col("start"), F.lit(0.0))
-    upto = lambda i: F.aggregate(F.slice("_words", F.lit(1), i), F.lit(0), lambda a, w: a + F.length(w))
-    at = lambda i: F.when(i == 0, F.col("start")).when(i == F.size("_words"), F.col("end")).otherwise(F.bround(F.col("start") + span * upto(i) / size, 3))
-    out = segments.withColumn("_words", words).select("*", F.posexplode("_words").alias("word_pos", "word"))
-    return out.withColumn("word_start", at(F.col("word_pos"))).withColumn("word_end", at(F.col("word_pos") + 1)).drop("_words")
+    last = F.lead("word_pos").over(of.orderBy("word_pos")).isNull()
+    out = out.withColumn("word_end", F.when(last, F.col("end")).otherwise(F.bround(F.col("start") + span * upto / total, 3)))
+    return out.withColumn("word_start", F.coalesce(F.lag("word_end").over(of.orderBy("word_pos")), F.col("start")))
 
 
 def moments(frames: DataFrame, segments: DataFrame, durations: DataFrame | None = None, estimate: bool = True) -> DataFrame:

@@ -58,45 +58,61 @@ def _finding(rule: str, severity: str, message: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def phrases_found(text: Column, phrases: list[str]) -> Column:
+def _key(phrase: str) -> str:
+    """The first word of a phrase, as ``words_hit`` knows it."""
+    import re
+
+    return re.match(r"[\w-]+", phrase)[0]
+
+
+def words_hit(text: Column) -> Column:
+    """The first words of all phrases that a text holds: one pass over the text, after which only phrases that may be
+    there are looked for. Put it in a column of its own before several rules use it."""
+    keys = sorted({_key(p) for p in (*SOFT_JOINERS, *JOINERS, *VAGUE, *ESCAPES, *OPEN_ENDED, *IMPLEMENTATION, *ABSOLUTES)})
+    return F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(*map(F.lit, keys)))
+
+
+def phrases_found(text: Column, phrases: list[str], hits: Column | None = None) -> Column:
     """The phrases that occur, by first position and then as text."""
     at = [F.regexp_instr(text, F.lit(phrase_pattern(p))) for p in phrases]
-    hits = F.array(*(F.when(i > 0, F.struct(i.alias("at"), F.lit(p).alias("phrase"))) for i, p in zip(at, phrases, strict=True)))
-    return F.transform(F.array_sort(F.array_compact(hits)), lambda h: h.phrase)
+    if hits is not None:
+        at = [F.when(F.array_contains(hits, _key(p)), i).otherwise(0) for i, p in zip(at, phrases, strict=True)]
+    found = F.array(*(F.when(i > 0, F.struct(i.alias("at"), F.lit(p).alias("phrase"))) for i, p in zip(at, phrases, strict=True)))
+    return F.transform(F.array_sort(F.array_compact(found)), lambda h: h.phrase)
 
 
-def _listed(text: Column, phrases: list[str], rule: str, severity: str, before: str, after: str) -> Column:
-    return F.transform(phrases_found(text, phrases), lambda p: _finding(rule, severity, F.concat(F.lit(before + '"'), p, F.lit('"' + after))))
+def _listed(text: Column, phrases: list[str], rule: str, severity: str, after: str, hits: Column | None) -> Column:
+    return F.transform(phrases_found(text, phrases, hits), lambda p: _finding(rule, severity, F.concat(F.lit('"'), p, F.lit('"' + after))))
 
 
 def _where(clause: str | None) -> str:
     return f' in the "{clause}" part' if clause else ""
 
 
-def joined(text: Column, severity: str = "info", clause: str | None = None) -> Column:
+def joined(text: Column, severity: str = "info", clause: str | None = None, hits: Column | None = None) -> Column:
     w = _where(clause)
-    soft = _listed(text, SOFT_JOINERS, "joined-clauses", severity, "", w + " may join two thoughts in one sentence, so split it if it does.")
-    return F.concat(soft, _listed(text, JOINERS, "joined-clauses", "warn", "", w + " joins two thoughts in one sentence, so write one sentence per thought."))
+    soft = _listed(text, SOFT_JOINERS, "joined-clauses", severity, w + " may join two thoughts in one sentence, so split it if it does.", hits)
+    return F.concat(soft, _listed(text, JOINERS, "joined-clauses", "warn", w + " joins two thoughts in one sentence, so write one sentence per thought.", hits))
 
 
-def vague(text: Column, clause: str | None = None) -> Column:
-    return _listed(text, VAGUE, "vague-word", "warn", "", _where(clause) + " is vague, so say what a tester could measure instead.")
+def vague(text: Column, clause: str | None = None, hits: Column | None = None) -> Column:
+    return _listed(text, VAGUE, "vague-word", "warn", _where(clause) + " is vague, so say what a tester could measure instead.", hits)
 
 
-def escapes(text: Column, clause: str | None = None) -> Column:
-    return _listed(text, ESCAPES, "escape-clause", "warn", "", _where(clause) + " lets the rule be skipped, so say exactly when it applies.")
+def escapes(text: Column, clause: str | None = None, hits: Column | None = None) -> Column:
+    return _listed(text, ESCAPES, "escape-clause", "warn", _where(clause) + " lets the rule be skipped, so say exactly when it applies.", hits)
 
 
-def open_ended(text: Column, clause: str | None = None) -> Column:
-    return _listed(text, OPEN_ENDED, "open-ended-list", "warn", "", _where(clause) + " leaves the list open, so name every item.")
+def open_ended(text: Column, clause: str | None = None, hits: Column | None = None) -> Column:
+    return _listed(text, OPEN_ENDED, "open-ended-list", "warn", _where(clause) + " leaves the list open, so name every item.", hits)
 
 
-def implementation(text: Column) -> Column:
-    return _listed(text, IMPLEMENTATION, "implementation-word", "info", "", " describes how to build it rather than what it must do.")
+def implementation(text: Column, hits: Column | None = None) -> Column:
+    return _listed(text, IMPLEMENTATION, "implementation-word", "info", " describes how to build it rather than what it must do.", hits)
 
 
-def absolutes(text: Column) -> Column:
-    return _listed(text, ABSOLUTES, "absolute", "info", "", " is an absolute, so check it is really meant.")
+def absolutes(text: Column, hits: Column | None = None) -> Column:
+    return _listed(text, ABSOLUTES, "absolute", "info", " is an absolute, so check it is really meant.", hits)
 
 
 def has_actor(statement: Column) -> Column:
@@ -146,17 +162,19 @@ def no_outcome(then: Column) -> Column:
     return F.when(F.lower(text).isin(*PLACEHOLDERS), F.array(only)).when(~F.exists(words, verb_like), F.array(none)).otherwise(F.expr(_NONE))
 
 
-def requirement_findings(statement: Column) -> Column:
+def requirement_findings(statement: Column, hits: Column | None = None) -> Column:
+    """Findings on a statement; ``hits`` are ``words_hit`` of it, if they are at hand."""
     s = F.trim(F.coalesce(statement, F.lit("")))
-    all_rules = [joined(F.regexp_replace(s, SO_THAT, "")), vague(s), escapes(s), open_ended(s), implementation(s), missing_actor(s), passive(s), too_long(s), absolutes(s)]
+    all_rules = [joined(F.regexp_replace(s, SO_THAT, ""), hits=hits), vague(s, hits=hits), escapes(s, hits=hits), open_ended(s, hits=hits), implementation(s, hits)]
+    all_rules += [missing_actor(s), passive(s), too_long(s), absolutes(s, hits)]
     return F.when(s == "", F.array(_finding("empty-clause", "warn", F.lit("The statement is empty.")))).otherwise(F.concat(*all_rules))
 
 
-def criterion_findings(given: Column, when: Column, then: Column) -> Column:
+def criterion_findings(given: Column, when: Column, then: Column, hits: tuple[Column | None, ...] = (None, None, None)) -> Column:
     parts = []
-    for name, c in (("given", given), ("when", when), ("then", then)):
+    for name, c, h in zip(("given", "when", "then"), (given, when, then), hits, strict=True):
         c = F.coalesce(c, F.lit(""))
-        rules = F.concat(joined(c, "info", name), vague(c, name), escapes(c, name), open_ended(c, name), too_long(c, name))
+        rules = F.concat(joined(c, "info", name, h), vague(c, name, h), escapes(c, name, h), open_ended(c, name, h), too_long(c, name))
         parts.append(F.when(F.trim(c) == "", F.array(_finding("empty-clause", "warn", F.lit(f'The "{name}" part is empty.')))).otherwise(rules))
     then = F.coalesce(then, F.lit(""))
     parts.append(F.when(F.trim(then) == "", F.expr(_NONE)).otherwise(no_outcome(then)))
@@ -165,8 +183,11 @@ def criterion_findings(given: Column, when: Column, then: Column) -> Column:
 
 def lint(requirements: DataFrame, criteria: DataFrame) -> DataFrame:
     """``run_id, target, pos, id, findings``; clean rows keep an empty array."""
-    r = requirements.select("run_id", F.lit("requirement").alias("target"), "pos", "id", requirement_findings(F.col("statement")).alias("findings"))
-    c = criteria.select("run_id", F.lit("criterion").alias("target"), "pos", "id", criterion_findings(F.col("given"), F.col("when"), F.col("then")).alias("findings"))
+    r = requirements.withColumn("_h", words_hit(F.col("statement")))
+    r = r.select("run_id", F.lit("requirement").alias("target"), "pos", "id", requirement_findings(F.col("statement"), F.col("_h")).alias("findings"))
+    c = criteria.withColumns({f"_{x}": words_hit(F.col(x)) for x in ("given", "when", "then")})
+    found = criterion_findings(F.col("given"), F.col("when"), F.col("then"), (F.col("_given"), F.col("_when"), F.col("_then")))
+    c = c.select("run_id", F.lit("criterion").alias("target"), "pos", "id", found.alias("findings"))
     return r.unionByName(c)
 
 

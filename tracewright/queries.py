@@ -476,8 +476,9 @@ def pii_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, regexp_matches(text, '(?i)(^|[^\w\pL\pN-])and($|[^\w\pL\pN-])') AS soft, regexp_matches(text, '(?i)(^|[^\w\pL\pN-])({"|".join(lint.JOINERS).replace(" ", chr(92) + "s+")})($|[^\w\pL\pN-])') AS hard FROM documents
 """)
 def lint_joiners(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lint.joined(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.exists(found, lambda f: f.severity == "info").alias("soft"), F.exists(found, lambda f: f.severity == "warn").alias("hard"))
+    d = table(spark, sf_dir, "documents").withColumn("h", lint.words_hit(F.col("text"))).withColumn("f", lint.joined(F.col("text"), hits=F.col("h")))
+    found = F.col("f")
+    return d.select("doc_id", F.exists(found, lambda f: f.severity == "info").alias("soft"), F.exists(found, lambda f: f.severity == "warn").alias("hard"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[^\s\x{a0}\x{2000}-\x{200a}\x{3000}]+'))::INTEGER AS words, len(regexp_extract_all(text, '[^\s\x{a0}\x{2000}-\x{200a}\x{3000}]+')) > 40 AS too_long FROM documents")
@@ -490,7 +491,8 @@ WITH a(word) AS (VALUES ('always'), ('never'), ('all'), ('every'), ('100%'), ('e
 SELECT doc_id, word FROM documents, a WHERE regexp_matches(text, '(?i)(^|[^\w\pL\pN-])' || word || '($|[^\w\pL\pN-])')
 """)
 def lint_absolutes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(lint.phrases_found(F.col("text"), lint.ABSOLUTES)).alias("word"))
+    d = table(spark, sf_dir, "documents").withColumn("h", lint.words_hit(F.col("text")))
+    return d.select("doc_id", F.explode(lint.phrases_found(F.col("text"), lint.ABSOLUTES, F.col("h"))).alias("word"))
 
 
 @query(r"""
@@ -505,7 +507,8 @@ def lint_passive_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def lint_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules for statements on all documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(lint.requirement_findings(F.col("text"))).alias("f"))
+    d = table(spark, sf_dir, "documents").withColumn("h", lint.words_hit(F.col("text")))
+    d = d.select("doc_id", F.explode(lint.requirement_findings(F.col("text"), F.col("h"))).alias("f"))
     return d.select("doc_id", "f.rule", "f.severity", "f.message")
 
 
