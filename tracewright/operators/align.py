@@ -99,7 +99,7 @@ def moments(frames: DataFrame, segments: DataFrame, durations: DataFrame | None
     frames = intervals(frames.select("run_id", "index", "timestamp"), durations)
     bounds = frames.groupBy("run_id").agg(F.sort_array(F.collect_list("timestamp")).alias("_starts"))
     seg = segments.join(bounds, "run_id", "left").withColumn("_starts", F.coalesce("_starts", F.array().cast("array<double>")))
-    crossed = F.exists(F.slice("_starts", 2, 1_000_000), lambda b: (F.col("start") < b) & (b < F.col("end")))
+    crossed = F.exists("_starts", lambda b: (b > F.try_element_at("_starts", F.lit(1))) & (F.col("start") < b) & (b < F.col("end")))
     given = F.size("words") > 0
     seg = seg.withColumn("_mode", F.when(given, "words").when(F.lit(estimate) & crossed & (F.trim("text") != ""), "estimate").otherwise("whole")).drop("_starts")
     outer = ["run_id", "pos", "start", "end", "text", "speaker", "words"]

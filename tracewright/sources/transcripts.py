@@ -163,6 +163,6 @@ def split_notes(texts: DataFrame) -> DataFrame:
     w = Window.partitionBy("run_id").orderBy("p")
     rows = rows.withColumn("before", F.lag("heading").over(w)).where("heading is null")
     first = F.concat(F.col("before"), F.lit(": "), F.element_at("pieces", 1))
-    rows = rows.withColumn("pieces", F.when(F.col("before").isNotNull(), F.concat(F.array(first), F.slice("pieces", 2, 1_000_000))).otherwise(F.col("pieces")))
+    rows = rows.withColumn("pieces", F.when(F.col("before").isNotNull(), F.concat(F.array(first), F.slice("pieces", F.lit(2), F.greatest(F.size("pieces") - 1, F.lit(0))))).otherwise(F.col("pieces")))
     notes = rows.select("run_id", "p", F.posexplode("pieces").alias("i", "text"))
     return notes.select("run_id", (F.row_number().over(Window.partitionBy("run_id").orderBy("p", "i")) - 1).alias("pos"), "text")
