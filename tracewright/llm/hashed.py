@@ -35,7 +35,7 @@ class _Cache(dict):
 
 
 def _shape(token: str) -> int:
-    s = _digit.sub("9", _lower.sub("a", _upper.sub("A", token[:64])))
+    s = _digit.sub("9", _lower.sub("a", _upper.sub("A", token)))
     return _bucket(_again.sub(r"\1\1", s), 1)
 
 
