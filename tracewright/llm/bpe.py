@@ -12,7 +12,7 @@ from __future__ import annotations
 import functools
 import json
 import os
-import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -30,8 +30,8 @@ DOCUMENT_LEAF = 1 << 15
 STRETCH_LEAF = 256
 PRE_TOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Between a non-space and one of these, a pre-token always ends, whatever stands around it.
-_boundary = re.compile(r"(?<=\S)(?=[ \n\t])")
+#: Ids on either side of a join that are encoded again at first.
+WINDOW = 16
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -84,6 +84,7 @@ class Encoder:
         self.parts = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
         self.pre = regex.compile(PRE_TOKENS)
         self.leaf = stretch_leaf
+        self.longest_special, self.recoded = max(map(len, self.special), default=1), 0
         vocab = spec["model"]["vocab"]
         merged = [vocab["".join(m) if isinstance(m, list) else m.replace(" ", "")] for m in spec["model"]["merges"]]
         if merged == list(range(256, 256 + len(merged))):
@@ -150,57 +151,93 @@ class Encoder:
                 raise ValueError("the sides of a join aren't text")
             k = k + 1 if text is None else 2 * k
 
+    def known_cut(self, text: str, at: int) -> bool:
+        """Whether encoding may start or end at a place of the text, as far as the characters around it tell: either a
+        pre-token ends there in any surroundings, or the place is inside of one that goes on in any surroundings."""
+        reach = self.longest_special
+        if at < 3 or at + 2 > len(text) or any(x in text[max(0, at - reach) : at + reach] for x in self.special):
+            return False
+        before, after = _kind(text[at - 1]), _kind(text[at])
+        if "?" in (before, after):
+            return False
+        if before != after:
+            # A space may belong to what follows it, and an apostrophe to a contraction.
+            return before != " " and text[at - 1] != "'" and text[at] in " \n\t" or " " not in (before, after) and "'" not in (text[at - 1], text[at])
+        if before == "L":  # two more letters, else a contraction may end here
+            return _kind(text[at - 2]) == _kind(text[at - 3]) == "L"
+        if before == " ":  # the last space of several may stand apart
+            return _kind(text[at + 1]) == " "
+        return text[at] != "'"
+
+    def _edge(self, text: str, ids: np.ndarray, k: int, left: bool) -> tuple[int, int]:
+        """``(n, at)``: the least n of at least ``k`` ids next to the join, after the left side's or before the right
+        side's place ``at``, where encoding may start or end; all ids if there is no such place."""
+        near = ids[::-1] if left else ids
+        n = size = 0
+        while True:
+            # One id more at a time; where that leads nowhere for long, a quarter more.
+            step = near[n : n + (k if n < k else 1 if n < k + 64 else n // 4)]
+            n, size = n + len(step), size + int(self.lengths[step].sum())
+            if n == len(ids):
+                return n, 0 if left else len(text)
+            raw = (text[-size:] if left else text[: size + 1]).encode()
+            at = len(raw) - size if left else size
+            if raw[at] & 0xC0 == 0x80:  # inside a character
+                continue
+            chars = len((raw[at:] if left else raw[:at]).decode())
+            at = len(text) - chars if left else chars
+            if chars >= 2 * self.longest_special and self.known_cut(text, at):
+                return n, at
+
     def join_texts(self, left: tuple[str, bytes], right: tuple[str, bytes]) -> tuple[str, bytes]:
-        """Two neighbouring stretches of a document, cut anywhere, each (text, ids). The window reaches on either
-        side to a place where a pre-token ends in any surroundings, and grows until the ids of both sides end there."""
-        (ta, ia), (tb, ib) = left, right
-        la, lb = self.lengths[np.frombuffer(ia, "<u4")], self.lengths[np.frombuffer(ib, "<u4")]
-        w = 64
+        """Two neighbouring stretches of a document, cut anywhere, each (text, ids). Only a window around the join is
+        encoded again; it starts and ends at ids of the two sides, and grows until its first ids are those of the left
+        side and its last those of the right side: what lies beyond is then encoded as it would be in the whole.
+        ``recoded`` counts the characters of all windows."""
+        (ta, ra), (tb, rb) = left, right
+        ia, ib = np.frombuffer(ra, "<u4"), np.frombuffer(rb, "<u4")
+        k_a = k_b = WINDOW
         while True:
-            start = next((m.start() for m in reversed(list(_boundary.finditer(ta[-w:])))), None) if w < len(ta) else None
-            end = next((m.start() for m in _boundary.finditer(tb[:w])), None) if w < len(tb) else None
-            cut_a, pos_a = self._cut(la[::-1], len(ta[-w:][start:].encode())) if start is not None else (0, 0), start
-            keep_a = len(la) - cut_a[0] if pos_a is not None and cut_a is not None else 0
-            cut_b = self._cut(lb, len(tb[:end].encode())) if end is not None else None
-            ok_a = w >= len(ta) or (start is not None and cut_a is not None)
-            ok_b = w >= len(tb) or (end is not None and cut_b is not None)
+            n_a, start = self._edge(ta, ia, k_a, True)
+            n_b, end = self._edge(tb, ib, k_b, False)
+            text = ta[start:] + tb[:end]
+            self.recoded += len(text)
+            w = self.ids(text)
+            ok_a = n_a == len(ia) or w[:2] == ia[len(ia) - n_a :][:2].tolist()
+            ok_b = n_b == len(ib) or w[-2:] == ib[:n_b][-2:].tolist()
             if ok_a and ok_b:
-                text = (ta if w >= len(ta) else ta[-w:][start:]) + (tb if w >= len(tb) else tb[:end])
-                keep_a = 0 if w >= len(ta) else keep_a
-                drop_b = len(lb) if w >= len(tb) else cut_b[0]
-                return ta + tb, ia[: 4 * keep_a] + self.encode_many([text])[0] + ib[4 * drop_b :]
-            w *= 2
+                return ta + tb, ra[: 4 * (len(ia) - n_a)] + array("I", w).tobytes() + rb[4 * n_b :]
+            k_a, k_b = k_a if ok_a else 2 * n_a, k_b if ok_b else 2 * n_b
+
 
-    @staticmethod
-    def _cut(lengths: np.ndarray, size: int) -> tuple[int] | None:
-        """How many ids make up exactly so many bytes; None if an id goes across."""
-        ends = np.cumsum(lengths)
-        k = int(np.searchsorted(ends, size))
-        return (k + 1,) if k < len(ends) and ends[k] == size else None
+@functools.lru_cache(maxsize=1 << 16)
+def _kind(c: str) -> str:
+    """The class that the pre-tokenizer puts a character in: letter, number, space or other; ? where engines differ."""
+    kind = unicodedata.category(c)
+    if c in "\x1c\x1d\x1e\x1f\x85\u180e" or kind == "Cn":
+        return "?"
+    return " " if c.isspace() else kind[0] if kind[0] in "LN" else "."
 
 
 def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, leaf: int = DOCUMENT_LEAF) -> DataFrame:
     """``id_col, ids``: each whole text's ids as little-endian unsigned 32-bit integers.
 
     Texts of up to ``leaf`` characters are encoded where they are read, without a shuffle. Longer ones are cut into
-    leaves of ``leaf`` characters, which tasks encode in parallel, and joined per distinct text; a task holds one
-    document's text and ids at a time.
+    leaves of ``leaf`` characters, which tasks encode in parallel, and joined per distinct text, so copies cost a key
+    each; a task holds one text and its ids at a time.
     """
     text_batches(docs.sparkSession)
     path = path or vocabulary_path()
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     short = rows.where(F.length("text") <= leaf).mapInArrow(_encode_rows(path), f"id {kind}, ids binary")
+    rows = rows.where(F.length("text") > leaf).withColumn("key", F.sha2("text", 256))
     cuts = F.sequence(F.lit(0), ((F.length("text") - 1) / leaf).cast("int"))
-    long = (
-        rows.where(F.length("text") > leaf)
-        .withColumn("key", F.sha2(F.concat_ws("\0", F.col("id").cast("string"), "text"), 256))
-        .select("id", "key", "text", F.explode(cuts).alias("pos"))
-        .select("id", "key", "pos", F.expr(f"substring(text, pos * {leaf} + 1, {leaf})").alias("text"))
-        .repartition("key", "pos")
-        .mapInArrow(_encode_rows(path), f"id {kind}, key string, pos int, text string, ids binary")
-    )
-    long = long.groupBy("key").applyInPandas(_join_rows(path), f"id {kind}, ids binary")
+    leaves = rows.select("key", "text", F.explode(cuts).alias("pos")).select("key", "pos", F.expr(f"substring(text, pos * {leaf} + 1, {leaf})").alias("text"))
+    # Copies of a text are one from here on; the exchange of this step deals the leaves out, too.
+    leaves = leaves.dropDuplicates(["key", "pos"]).mapInArrow(_encode_rows(path), "key string, pos int, text string, ids binary")
+    whole = leaves.groupBy("key").applyInPandas(_join_rows(path), "key string, ids binary")
+    long = rows.select("id", "key").join(whole, "key").select("id", "ids")
     return short.unionByName(long).withColumnRenamed("id", id_col)
 
 
@@ -218,13 +255,11 @@ def _encode_rows(path: str):
 def _join_rows(path: str):
     def run(rows):
         enc = encoder(path)
-        copies = int((rows["pos"] == 0).sum())
-        rows = rows.drop_duplicates("pos").sort_values("pos")
+        rows = rows.sort_values("pos")
         level = list(zip(rows["text"], map(bytes, rows["ids"]), strict=True))
         while len(level) > 1:
             level = [enc.join_texts(level[i], level[i + 1]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        one = rows.iloc[:1][["id"]].assign(ids=[level[0][1]])
-        return one.loc[one.index.repeat(copies)]
+        return rows.iloc[:1][["key"]].assign(ids=[level[0][1]])
 
     return run
 
