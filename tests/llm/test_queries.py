@@ -76,14 +76,21 @@ def test_op4(spark, docs):
     assert max(load.values()) < 1.15 * min(load.values())
 
 
-def vectors():
-    return duckdb.sql(f"select vec_id, embedding from '{D}/embeddings.parquet' order by 1").fetchall()
-
-
-def test_op5_and_op9(spark):
-    v = vectors()
+def with_near_copies(spark, tmp_path):
+    """The table's vectors, and near copies of every third; no two vectors of the table itself are alike to 0.9."""
+    v = duckdb.sql(f"select vec_id, embedding from '{D}/embeddings.parquet' order by 1").fetchall()
+    g = np.random.default_rng(1)
+    top = max(i for i, _ in v) + 1
+    v += [(top + k, (np.array(e) + g.normal(size=len(e)) * 0.03 * np.linalg.norm(e) / len(e) ** 0.5 * (1 + k % 20)).astype(np.float32).tolist()) for k, (_, e) in enumerate(v[::3])]
+    spark.createDataFrame([(i, e, 0) for i, e in v], "vec_id long, embedding array<float>, label int").repartition(3).write.parquet(f"{tmp_path}/embeddings.parquet")
+    return v, str(tmp_path)
+
+
+def test_op5_and_op9(spark, tmp_path):
+    v, d = with_near_copies(spark, tmp_path)
     x = np.array([e for _, e in v], dtype=np.float32).astype(float)
     c = x @ x.T / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) >= 0.9
+    assert c.sum() > len(v) + 100
     comp = np.arange(len(v))
     while True:
         new = np.array([comp[c[i]].min() for i in range(len(v))])
@@ -91,10 +98,10 @@ def test_op5_and_op9(spark):
             break
         comp = new
     ids = [i for i, _ in v]
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op5_rangejoin(spark, D).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op5_rangejoin(spark, d).collect()}
     assert got == {ids[i]: (int(c[i].sum()) - 1, ids[comp[i]], comp[i] == i) for i in range(len(v))}
     found = defaultdict(list)
-    for r in queries.op9_vptree(spark, D).collect():
+    for r in queries.op9_vptree(spark, d).collect():
         found[r.query_id].append((r.rank, r.vec_id, r.score))
     hit = n = 0
     for i, q in enumerate(ids):

@@ -24,11 +24,12 @@ def brute(rows, c=0.9):
     return sorted((rows[i][0], n[i], least[comp[i]], rows[i][0] == least[comp[i]]) for i in range(len(rows)))
 
 
-@pytest.mark.parametrize("pivots", [(1,), (7,), (1, 4, 16)])
-def test_against_brute_force(spark, monkeypatch, pivots):
+@pytest.mark.parametrize("pivots,cell", [((1, 1), 1), ((2, 7), 10), ((8, 4096), 16)])
+def test_against_brute_force(spark, monkeypatch, pivots, cell):
     monkeypatch.setattr(rangejoin, "CHUNK", 20)
+    monkeypatch.setattr(rangejoin, "BLOCK", 8)
     monkeypatch.setattr(rangejoin, "PIVOTS", pivots)
-    monkeypatch.setattr(rangejoin, "COPY_COST", 0)
+    monkeypatch.setattr(rangejoin, "CELL", cell)
     g = np.random.default_rng(3)
     centres = g.normal(size=(12, 8))
     rows = [(i, [float(x) for x in (centres[i % 12] + g.normal(size=8) * 0.25 * (i % 4)).astype(np.float32)], 0) for i in range(260)]
@@ -42,3 +43,30 @@ def test_empty(spark):
     df = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in rangejoin.link(df).collect()] == [(1, 0, 1, True)]
     assert rangejoin.link(df.limit(0)).count() == 0
+
+
+def test_clusters_are_compared_within(spark, monkeypatch):
+    """Near copies around 40 centres: few pairs are compared, and no link is lost."""
+    monkeypatch.setattr(rangejoin, "CELL", 32)
+    g = np.random.default_rng(4)
+    centres = g.normal(size=(40, 64))
+    x = (centres[np.arange(1600) % 40] + g.normal(size=(1600, 64)) * 0.3).astype(np.float32)
+    x[1500:] = (x[:100] + g.normal(size=(100, 64)) * 0.05).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    _, _, found = rangejoin.join_cells(df, "vec_id", "embedding", 0.9)
+    assert found.where("src is null").agg({"n": "sum"}).first()[0] < 0.3 * 1600 * 1599 / 2
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    c = u @ u.T >= 0.9
+    comp = np.arange(1600)
+    for _ in range(60):
+        comp = np.array([comp[c[i]].min() for i in range(1600)])
+    got = {r.vec_id: (r.n_links, r.component_id) for r in rangejoin.link(df).collect()}
+    assert got == {i: (int(c[i].sum()) - 1, comp[i]) for i in range(1600)}
+    assert sum(n > 0 for n, _ in got.values()) > 1500
+
+
+def test_pivots_are_far_apart():
+    g = np.random.default_rng(6)
+    x = rangejoin.unit(np.repeat(g.normal(size=(30, 16)), 50, axis=0) + g.normal(size=(1500, 16)) * 0.05)
+    p = rangejoin.choose_pivots(x, 10**6, 0.447)
+    assert len(p) == 30 and (np.linalg.norm(p[:, None] - p[None], axis=2) + np.eye(30) > 0.447).all()

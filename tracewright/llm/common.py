@@ -73,3 +73,18 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
 def _mark(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
+
+
+#: Keys that are broadcast by ``join_counted`` at most: those that more than one in so many rows have.
+HOT_KEYS = 1_000
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int, most: int = HOT_KEYS) -> DataFrame:
+    """``rows`` joined with ``table``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
+
+    Hot keys, those of more than one in ``most`` rows, are fewer than ``most``: their table rows are broadcast, so that
+    rows of a hot key stay where they are. The others meet in a shuffle; none of these is a large share of a task's."""
+    hot, other = table.where(F.col(n) * most > total).drop(n), table.where(F.col(n) * most <= total).drop(n)
+    often = rows.join(F.broadcast(hot), key)
+    seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other, key)
+    return often.unionByName(seldom)

@@ -1,7 +1,8 @@
 """Embedding near-duplicates by an exact metric range join.
 
-Unit vectors with cosine c lie at distance sqrt(2 - 2c). Pivots partition them into cells; the triangle inequality says
-which vectors near a cell's border must be given to the neighbouring cell as well; then cells join independently.
+Unit vectors with cosine c lie at distance sqrt(2 - 2c). Pivots, far from each other, partition them into cells; the
+triangle inequality says which vectors near a cell's border must be given to the neighbouring cell as well; then cells
+join independently, and of a cell's vectors only those are compared whose distances to its pivot are near enough.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing and are
 their own component; of vectors of different lengths the shorter counts as filled up with zeros; equal vectors link
@@ -15,16 +16,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, materialize
+from tracewright.llm.common import components, join_counted, materialize
 from tracewright.llm.vectors import matrix, raw_vectors, unit
 
-#: Vectors that the number of pivots is chosen on, and the pivots tried; both are sent to the driver.
-SAMPLE = 4096
-PIVOTS = (1, 4, 16, 64, 256, 1024)
+#: Vectors that pivots are chosen from; they are sent to the driver.
+SAMPLE = 16_384
+#: Vectors of a cell, about, and the least and the most pivots. More pivots make cells smaller and copies more.
+CELL, PIVOTS = 2048, (8, 4096)
 #: Vectors on either side of one comparison at most, about; larger cells are split.
-CHUNK = 8192
-#: Handling a copy of a vector costs as much as so many comparisons.
-COPY_COST = 20_000
+CHUNK = 2048
+#: Rows that are compared at once.
+BLOCK = 128
 _SLACK = 1e-6
 
 
@@ -41,34 +43,28 @@ def _copies(d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndar
 
 
 def choose_pivots(sample: np.ndarray, n: int, r: float) -> np.ndarray:
-    """As many of the sample's first vectors as make the join cheapest, as far as the rest of the sample tells."""
-    best, chosen = np.inf, sample[:1]
-    for k in PIVOTS:
-        if k > 1 and 2 * k > len(sample):
-            break
-        p, rest = sample[:k], sample[k:] if len(sample) > k else sample
-        d = _distances(rest, p)
-        home = d.argmin(axis=1)
-        reach = np.array([d[home == j, j].max(initial=0.0) for j in range(k)])
-        given = _copies(d, home, _distances(p, p), reach, r)
-        h, g = np.bincount(home, minlength=k) / len(rest), given.sum(axis=0) / len(rest)
-        cost = n * n * float((h * (h / 2 + g)).sum()) + n * (1 + float(g.sum())) * COPY_COST + n * k
-        if cost < best:
-            best, chosen = cost, p
-    return chosen
+    """Farthest first: each pivot is the vector of the sample that is farthest from those before, until there is one for
+    every ``CELL`` of the ``n`` vectors, or none is farther than ``r``."""
+    wanted = min(max(PIVOTS[0], -(-n // CELL)), PIVOTS[1], len(sample))
+    chosen, near = [0], _distances(sample, sample[:1])[:, 0]
+    while len(chosen) < wanted and near.max() > r:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
+    return sample[chosen]
 
 
-def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
-    """``id_col, n_links, component_id, kept``; linked are all pairs of cosine ``cosine`` or more, and no others.
+def join_cells(df: DataFrame, id_col: str, vec_col: str, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``rows`` (id, cls) of the vectors that take part, ``classes`` (cls, n, least) of equal ones, and ``found`` (src, dst,
+    n): with dst null, n linked vectors of class src; with dst, a link that holds components together; with src null, n
+    pairs of classes were compared.
 
     Equal vectors are one class from the start, so a hot vector costs one row. A cell of more than ``CHUNK`` vectors,
     its own or given ones, is split by hash and compared chunk by chunk. A comparison gives out link counts per class
     and a spanning forest of its links, so output follows the number of vectors, not of links.
     """
-    spark = df.sparkSession
     r = float(np.sqrt(2.0 - 2.0 * cosine))
     raw, dtype = raw_vectors(df, id_col, vec_col)
-    rows = materialize(raw.select("id", "raw", F.substring(F.sha2("raw", 256), 1, 32).alias("cls")), "vectors")
+    rows = materialize(raw.select("id", "raw", F.unhex(F.substring(F.sha2("raw", 256), 1, 32)).alias("cls")), "vectors")
     classes = rows.groupBy("cls").agg(F.any_value("raw").alias("raw"), F.count("*").alias("n"), F.min("id").alias("least"))
     n, width = classes.agg(F.count("*"), F.coalesce(F.max(F.octet_length("raw")), F.lit(0))).first()
     width //= dtype.itemsize
@@ -82,7 +78,7 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
                 home = d.argmin(axis=1)
                 yield f.assign(home=home.astype("int32"), dist=d[np.arange(len(d)), home])
 
-    homes = classes.mapInPandas(at_home, "cls string, raw binary, n long, least " + rows.schema["id"].dataType.simpleString() + ", home int, dist double")
+    homes = classes.mapInPandas(at_home, "cls binary, raw binary, n long, least " + rows.schema["id"].dataType.simpleString() + ", home int, dist double")
     homes = materialize(homes, "cells")
     reach = np.zeros(len(pivots))
     for x in homes.groupBy("home").agg(F.max("dist").alias("dist")).collect():  # a row per pivot
@@ -94,11 +90,11 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
             if len(f):
                 d = _distances(unit(matrix(f["raw"], dtype, width)), pivots)
                 which, cell = np.nonzero(_copies(d, f["home"].to_numpy(), between, reach, r))
-                yield f.iloc[which].assign(cell=cell.astype("int32"))[["cls", "raw", "n", "cell"]]
+                yield f.iloc[which].assign(cell=cell.astype("int32"), dist=d[which, cell])[["cls", "raw", "n", "cell", "dist"]]
 
-    own = homes.select("cls", "raw", "n", F.col("home").alias("cell"), F.lit(False).alias("guest"))
+    own = homes.select("cls", "raw", "n", F.col("home").alias("cell"), "dist", F.lit(False).alias("guest"))
     if len(pivots) > 1:
-        guests = homes.select("cls", "raw", "n", "home").mapInPandas(given, "cls string, raw binary, n long, cell int")
+        guests = homes.select("cls", "raw", "n", "home").mapInPandas(given, "cls binary, raw binary, n long, cell int, dist double")
         own = own.unionByName(guests.withColumn("guest", F.lit(True)))
     cells = materialize(own, "joined")
     # A row per cell; cells without guests have a chunk count of 0 for them.
@@ -113,27 +109,38 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
     to_guests = F.transform(some(F.col("guest_chunks")), lambda b: F.struct(F.lit(1).alias("kind"), F.col("c").alias("i"), b.alias("j")))
     from_guest = F.transform(some(F.col("own_chunks")), lambda b: F.struct(F.lit(1).alias("kind"), b.alias("i"), F.col("c").alias("j")))
     dealt = dealt.withColumn("t", F.explode(F.when(F.col("guest"), from_guest).otherwise(F.concat(to_own, to_guests))))
-    dealt = dealt.select("cell", "t.kind", "t.i", "t.j", "cls", "raw", "n", ((F.col("t.kind") == 0) & (F.col("c") == F.col("t.i")) | (F.col("t.kind") == 1) & ~F.col("guest")).alias("left"))
+    dealt = dealt.select("cell", "t.kind", "t.i", "t.j", "cls", "raw", "n", "dist", ((F.col("t.kind") == 0) & (F.col("c") == F.col("t.i")) | (F.col("t.kind") == 1) & ~F.col("guest")).alias("left"))
 
     def compare(f):
         import pandas as pd
 
-        cls, n, left = f["cls"].to_numpy(), f["n"].to_numpy(), f["left"].to_numpy()
+        f = f.sort_values("dist")
+        cls, n, left, dist = f["cls"].to_numpy(), f["n"].to_numpy(), f["left"].to_numpy(), f["dist"].to_numpy()
         x = unit(matrix(f["raw"], dtype, width))
         same = f["kind"].iloc[0] == 0 and f["i"].iloc[0] == f["j"].iloc[0]
         a = np.arange(len(f)) if same else np.flatnonzero(left)
         b = a if same else np.flatnonzero(~left)
-        total, src, dst = compare_vectors(x, n, a, b, cosine, same)
+        total, src, dst, pairs = compare_vectors(x, n, dist, a, b, cosine, same)
         hit = np.flatnonzero(total)
-        return pd.concat([pd.DataFrame({"src": cls[hit], "dst": None, "n": total[hit]}), pd.DataFrame({"src": cls[src], "dst": cls[dst], "n": 0})])
+        parts = [{"src": cls[hit], "dst": None, "n": total[hit]}, {"src": cls[src], "dst": cls[dst], "n": 0}, {"src": [None], "dst": [None], "n": [pairs]}]
+        return pd.concat([pd.DataFrame(p) for p in parts])
+
+    found = dealt.groupBy("cell", "kind", "i", "j").applyInPandas(compare, "src binary, dst binary, n long")
+    found = materialize(found, "found")
+    return rows.select("id", "cls"), homes.select("cls", "n", "least"), found
 
-    found = materialize(dealt.groupBy("cell", "kind", "i", "j").applyInPandas(compare, "src string, dst string, n long"), "found")
-    links = found.where("dst is null").groupBy(F.col("src").alias("cls")).agg(F.sum("n").alias("links"))
+
+def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.9) -> DataFrame:
+    """``id_col, n_links, component_id, kept``; linked are all pairs of cosine ``cosine`` or more, and no others."""
+    rows, classes, found = join_cells(df, id_col, vec_col, cosine)
+    links = found.where("src is not null and dst is null").groupBy(F.col("src").alias("cls")).agg(F.sum("n").alias("links"))
     roots = components(found.where("dst is not null")).withColumnRenamed("node", "cls")
-    named = homes.select("cls", "n", "least").join(links, "cls", "left").join(roots, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = named.join(least, "root").select("cls", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), "component")
-    good = rows.join(materialize(named, "named"), "cls").select("id", "links", "component")
+    linked = materialize(classes.join(links, "cls").join(roots, "cls"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component"), F.count("*").alias("in_root"))
+    linked = join_counted(linked, least, "root", "in_root", linked.count()).select("cls", "n", "links", "component")
+    alone = classes.join(links.select("cls"), "cls", "left_anti").select("cls", "n", F.lit(0).cast("long").alias("links"), F.col("least").alias("component"))
+    named = materialize(linked.unionByName(alone).select("cls", "n", (F.col("links") + F.col("n") - 1).alias("links"), "component"), "named")
+    good = join_counted(rows, named, "cls", "n", rows.count()).select("id", "links", "component")
     # The rest: as many rows of an id as didn't take part.
     rest = df.select(F.col(id_col).alias("id")).groupBy("id").agg(F.count("*").alias("all"))
     took = rows.groupBy("id").agg(F.count("*").alias("took"))
@@ -144,20 +151,27 @@ def link(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", cosi
     return out.select(F.col("id").alias(id_col), F.col("links").alias("n_links"), F.col("component").alias("component_id"), kept.alias("kept"))
 
 
-def compare_vectors(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, list, list]:
-    """Linked copies per row, and a spanning forest of the links, between rows ``a`` and ``b`` of unit vectors.
+def compare_vectors(x: np.ndarray, n: np.ndarray, dist: np.ndarray, a: np.ndarray, b: np.ndarray, cosine: float, same: bool) -> tuple[np.ndarray, list, list, int]:
+    """Linked copies per row, a spanning forest of the links, and how many pairs were compared, between rows ``a`` and
+    ``b`` of unit vectors, both in the order of ``dist``, their distance to one pivot: vectors whose distances differ by
+    more than the range can't be linked.
 
     Single precision finds candidates with a margin above its error; double precision decides."""
     total, label = np.zeros(len(x), dtype=np.int64), np.arange(len(x))
     x32 = x.astype(np.float32)
-    src, dst = [], []
-    for s in range(0, len(a), 256):
-        rows = a[s : s + 256]
-        cols = b[s:] if same else b
+    r = float(np.sqrt(2.0 - 2.0 * cosine)) + _SLACK
+    src, dst, pairs = [], [], 0
+    for s in range(0, len(a), BLOCK):
+        rows = a[s : s + BLOCK]
+        first, last = np.searchsorted(dist[b], [dist[rows[0]] - r, dist[rows[-1]] + r], side="left")
+        cols = b[max(s, first) : last + 1] if same else b[first : last + 1]
+        if not len(cols):
+            continue
+        pairs += len(rows) * len(cols)
         i, j = np.nonzero(x32[rows] @ x32[cols].T >= cosine - 1e-4)
+        i, j = rows[i], cols[j]
         if same:
             i, j = i[j > i], j[j > i]
-        i, j = rows[i], cols[j]
         sure = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], x[j[k : k + 65536]]) >= cosine for k in range(0, len(i), 65536)] or [np.zeros(0, bool)])
         i, j = i[sure], j[sure]
         np.add.at(total, i, n[j])
@@ -173,4 +187,4 @@ def compare_vectors(x: np.ndarray, n: np.ndarray, a: np.ndarray, b: np.ndarray,
                 src += [row] * int(new.sum())
                 dst += mates[first[new]].tolist()
                 label[np.isin(label, others[new])] = label[row]
-    return total, src, dst
+    return total, src, dst, pairs
