@@ -2,37 +2,58 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Characters that a text row hands to Python at most, per Arrow batch of ``records`` rows, is left to the rows
-#: themselves; small batches keep long texts from meeting in one buffer.
-TEXT_BATCH = "500"
+#: Rows and bytes of an Arrow batch of texts at most: a row may be very long.
+TEXT_ROWS, TEXT_BYTES = 500, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where unset, as in tests, a fresh one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, a fresh one on a single
+    machine, as in tests; on a cluster that is an error, for executors wouldn't see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="tracewright-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, executors may go."""
+    """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there, executors may go.
+
+    Tables that nothing reads any more are deleted by ``discard``; those that a result reads stay, until whoever runs
+    the job empties the folder."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` wrote and nothing will read again."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t._table_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Hand texts to Python in small batches: the size of a batch is counted in rows, and a row may be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_BATCH)
+    """Hand texts to Python in small batches, by rows and by bytes. Spark reads these settings when a plan runs, so they
+    stay lowered in the session; values that are lower already are left."""
+    for key, most in (("maxRecordsPerBatch", TEXT_ROWS), ("maxBytesPerBatch", TEXT_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = re.match(r"(-?\d+)b?$", spark.conf.get(key, str(most)))
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(key, str(most))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:
@@ -44,7 +65,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
 
     Returns ``node, root`` for every node with a link to another, ``root`` the least node of its component. Each
     round is two equi-joins with pre-aggregated minima, written to the shared folder; only a count and a checksum
-    come to the driver. Nodes may be numbers or strings; null ends and self links are dropped, repeats do no harm.
+    come to the driver. Rows of a node with very many links are split by Spark's handling of skewed joins. Nodes may be numbers or strings; null ends and self links are dropped, repeats do no harm.
     An empty table gives an empty table.
     """
     e = (
@@ -62,7 +83,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        e = materialize(small.where("u <> v").distinct(), "links")
+        old, e = e, materialize(small.where("u <> v").distinct(), "links")
+        discard(old)
         now = _mark(e)
         if now == seen:
             break
