@@ -38,14 +38,46 @@ def test_empty(spark):
     assert vptree.nearest(df, F.lit(False)).count() == 0
 
 
-def test_tree_prunes_and_factor_one_is_exact():
+def clusters(n=4000, centres=40, dims=64):
     g = np.random.default_rng(2)
-    c = g.normal(size=(20, 8)) * 5
-    x = c[g.integers(0, 20, 4000)] + g.normal(size=(4000, 8)) * 0.3
-    x /= np.linalg.norm(x, axis=1)[:, None]
-    q, extra = x[:100], np.zeros(4000)
+    c = g.normal(size=(centres, dims))
+    x = c[g.integers(0, centres, n)] + g.normal(size=(n, dims)) * 0.3
+    return x / np.linalg.norm(x, axis=1)[:, None]
+
+
+def test_tree_prunes_and_factor_one_is_exact():
+    x = clusters()
+    q = x[:100]
     want = np.argsort(-(q @ x.T), axis=1)[:, :10]
-    tree = vptree.Tree(x, extra, leaf=32)
-    for factor, least in ((1.0, 1.0), (1.5, 0.9)):
+    for factor, least in ((1.0, 1.0), (1.1, 0.9)):
+        tree = vptree.Tree(x, np.zeros(4000))
         _, pos = tree.search(q, 10, 1.0, factor)
         assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(pos, want)]) >= least
+        assert tree.scored < 0.3 * 100 * 4000
+
+
+def test_queries_look_into_few_shards():
+    x = vptree.augmented(clusters(), 1.0)
+    centres = vptree.spread(x, 60, 0.0)
+    d = vptree.distances(x, centres)
+    home = d.argmin(axis=1)
+    radius = np.array([d[home == c, c].max() for c in range(len(centres))])
+    q = x[:200, :-1]
+    known = np.sort(q @ x[:, :-1].T, axis=1)[:, -21]
+    visits = vptree.may_hold(q, centres, radius, 1.0, known, 1.0)
+    in_shard = np.bincount(home, minlength=len(centres))
+    assert (visits @ in_shard).mean() < 0.3 * len(x)
+    best = np.argsort(-(q @ x[:, :-1].T), axis=1)[:, :20]
+    assert all(visits[i, home[j]] for i in range(200) for j in best[i])
+
+
+def test_recall_on_clusters(spark):
+    x = clusters(1500).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(y) for y in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {}
+    for r in vptree.nearest(df, F.col("vec_id") % 20 == 0, factor=1.1, shard=100, block=30).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    s = x.astype(float) @ x.astype(float).T
+    np.fill_diagonal(s, -9)
+    want = {i: set(np.argsort(-s[i])[:20].tolist()) for i in range(0, 1500, 20)}
+    assert np.mean([len(got[i] & want[i]) / 20 for i in want]) >= 0.9

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.common import components, join_counted, materialize
-from tracewright.llm.vectors import matrix, raw_vectors, unit
+from tracewright.llm.vectors import distances, matrix, raw_vectors, spread, unit
 
 #: Vectors that pivots are chosen from; they are sent to the driver.
 SAMPLE = 16_384
@@ -30,10 +30,6 @@ BLOCK = 128
 _SLACK = 1e-6
 
 
-def _distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (x @ p.T)))
-
-
 def _copies(d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndarray, r: float) -> np.ndarray:
     """Whether vector x has to be given to cell j: j comes before its own cell i, the plane between the pivots of i
     and j is within r of x (beyond it lies all of j), and so is the ball that holds j."""
@@ -45,12 +41,7 @@ def _copies(d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndar
 def choose_pivots(sample: np.ndarray, n: int, r: float) -> np.ndarray:
     """Farthest first: each pivot is the vector of the sample that is farthest from those before, until there is one for
     every ``CELL`` of the ``n`` vectors, or none is farther than ``r``."""
-    wanted = min(max(PIVOTS[0], -(-n // CELL)), PIVOTS[1], len(sample))
-    chosen, near = [0], _distances(sample, sample[:1])[:, 0]
-    while len(chosen) < wanted and near.max() > r:
-        chosen.append(int(near.argmax()))
-        near = np.minimum(near, _distances(sample, sample[chosen[-1:]])[:, 0])
-    return sample[chosen]
+    return spread(sample, min(max(PIVOTS[0], -(-n // CELL)), PIVOTS[1]), r)
 
 
 def join_cells(df: DataFrame, id_col: str, vec_col: str, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -74,7 +65,7 @@ def join_cells(df: DataFrame, id_col: str, vec_col: str, cosine: float) -> tuple
     def at_home(frames):
         for f in frames:
             if len(f):
-                d = _distances(unit(matrix(f["raw"], dtype, width)), pivots)
+                d = distances(unit(matrix(f["raw"], dtype, width)), pivots)
                 home = d.argmin(axis=1)
                 yield f.assign(home=home.astype("int32"), dist=d[np.arange(len(d)), home])
 
@@ -83,12 +74,12 @@ def join_cells(df: DataFrame, id_col: str, vec_col: str, cosine: float) -> tuple
     reach = np.zeros(len(pivots))
     for x in homes.groupBy("home").agg(F.max("dist").alias("dist")).collect():  # a row per pivot
         reach[x.home] = x.dist
-    between = _distances(pivots, pivots)
+    between = distances(pivots, pivots)
 
     def given(frames):
         for f in frames:
             if len(f):
-                d = _distances(unit(matrix(f["raw"], dtype, width)), pivots)
+                d = distances(unit(matrix(f["raw"], dtype, width)), pivots)
                 which, cell = np.nonzero(_copies(d, f["home"].to_numpy(), between, reach, r))
                 yield f.iloc[which].assign(cell=cell.astype("int32"), dist=d[which, cell])[["cls", "raw", "n", "cell", "dist"]]
 

@@ -45,3 +45,18 @@ def matrix(raw, dtype: np.dtype, width: int = 0) -> np.ndarray:
 def unit(x: np.ndarray) -> np.ndarray:
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+
+
+def distances(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Between all rows of x and all of p."""
+    return np.sqrt(np.maximum(0.0, (x * x).sum(axis=1)[:, None] + (p * p).sum(axis=1)[None, :] - 2.0 * (x @ p.T)))
+
+
+def spread(x: np.ndarray, most: int, least: float) -> np.ndarray:
+    """Farthest first: each row chosen is the one that is farthest from those before, until there are ``most`` or none is
+    farther than ``least``."""
+    chosen, near = [0], distances(x, x[:1])[:, 0]
+    while len(chosen) < min(most, len(x)) and near.max() > least:
+        chosen.append(int(near.argmax()))
+        near = np.minimum(near, distances(x, x[chosen[-1:]])[:, 0])
+    return x[chosen]
