@@ -51,3 +51,22 @@ def test_pack(spark):
     s = packing.slack(packing.pack(docs, window=64), 64).first()
     assert s.padding <= 64 and s.tokens == sum(x.length for x in out)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_repeats_of_a_length_that_fills_no_window(spark):
+    """Equal texts, two of which fit in a window: dealt to several tasks, packed the same way on a rerun."""
+    text = "word " * 39
+    docs = spark.createDataFrame([(7, text)] * 500 + [(i, text) for i in range(1000, 1100)], "doc_id long, text string").repartition(3)
+    out = packing.pack(docs, window=100, pool=64)
+    rows = out.collect()
+    assert len(rows) == 600 and len({x.sequence_id for x in rows}) <= 300 + 15
+    assert len({x.sequence_id >> 36 for x in rows}) >= 8
+    assert sorted(map(str, out.collect())) == sorted(map(str, rows))
+
+
+def test_a_very_long_text(spark):
+    text = "a few words, " * 100_000
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "short")], "doc_id long, text string")
+    rows = packing.pack(docs).collect()
+    n = len(Tokenizer.from_file(bpe.vocabulary_path()).encode(text, add_special_tokens=False).ids) + 1
+    assert sum(x.length for x in rows if x.doc_id == 1) == 2 * n and {x.doc_tokens for x in rows if x.doc_id == 1} == {n}

@@ -5,7 +5,9 @@ multiset of remaining lengths that fills a window closest to capacity, walks bac
 of each length, and uses that filling as often as the histogram allows.
 
 Defined results: null text counts as empty; an empty document still has its end id; repeated rows are packed once per
-row; columns other than the id and the text are ignored; an empty table gives an empty table.
+row; pieces of one length are taken in the order of their contents, and what is packed is written before it is given
+out, so lost tasks change nothing; columns other than the id and the text are ignored; an empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -99,8 +101,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
 
     A document's ids, with ``end_id`` at their end, are cut at each multiple of ``window``; whole windows are sequences
     of their own. Each task packs its rests as it reads, ``pool`` at a time, and gives out the sequences that are full;
-    what no task could fill, a small share, is moved together and packed in a second round. So texts and ids aren't
-    shuffled, and a task holds ``pool`` rests at most. The first round is written to the shared folder once.
+    what no task could fill, a small share unless lengths don't fit together, is dealt out evenly and packed in a second
+    round. So most texts and ids aren't shuffled, and a task holds about ``pool`` rests at most in either round. Both
+    are written to the shared folder once.
     """
     spark = docs.sparkSession
     text_batches(spark)
@@ -110,9 +113,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     first = materialize(rows.mapInArrow(_first(path, window, end_id, pool, rows.schema["id"].dataType), f"id {kind}, {FIELDS}"), "packed")
     rest = first.where("sequence_id is null")
     tasks = max(1, -(-rest.count() // pool))
-    # The key is made from the rows' contents, so that a lost task deals them out alike when run again.
-    rest = rest.repartition(tasks, F.xxhash64("id", "start", "length", F.crc32("ids")))
-    rest = rest.mapInArrow(_second(window, rows.schema["id"].dataType), f"id {kind}, {FIELDS}")
+    # Dealt in turn, so that repeats of one row don't meet in one task; Spark orders the rows of a task before that.
+    rest = rest.repartition(tasks).withColumn("crc", F.crc32("ids")).sortWithinPartitions("length", "id", "start", "crc").drop("crc")
+    rest = materialize(rest.mapInArrow(_second(window, pool, rows.schema["id"].dataType), f"id {kind}, {FIELDS}"), "rests")
     return first.where("sequence_id is not null").unionByName(rest).withColumnRenamed("id", id_col)
 
 
@@ -132,10 +135,10 @@ def _first(path: str, window: int, end_id: int, pool_size: int, id_type):
         enc, pool = encoder(path), _Pool()
         base, made = TaskContext.get().partitionId() << 36, 0
 
-        def emit(everything: bool = False) -> list[tuple]:
+        def emit() -> list[tuple]:
             nonlocal made
             out = []
-            for sequence in pool.packed(window, everything):
+            for sequence in pool.packed(window, False):
                 out += [(*p, base + made, at) for at, p in sequence]
                 made += 1
             return out
@@ -154,8 +157,9 @@ def _first(path: str, window: int, end_id: int, pool_size: int, id_type):
                         pool.add(len(part) // 4, (doc, start, len(part) // 4, total, part))
             if pool.n >= pool_size:
                 out += emit()
-                if pool.n >= pool_size // 2:  # lengths that don't fit together
-                    out += emit(everything=True)
+                if pool.n >= pool_size // 2:  # lengths that don't fit together, to be dealt out anew
+                    yield _batch([(*p, None, None) for pieces in pool.by_length.values() for p in pieces], id_arrow)
+                    pool = _Pool()
             yield _batch(out, id_arrow)
         yield _batch(emit(), id_arrow)
         yield _batch([(*p, None, None) for pieces in pool.by_length.values() for p in pieces], id_arrow)
@@ -163,18 +167,28 @@ def _first(path: str, window: int, end_id: int, pool_size: int, id_type):
     return run
 
 
-def _second(window: int, id_type):
+def _second(window: int, pool_size: int, id_type):
     from pyspark.sql.pandas.types import to_arrow_type
 
     id_arrow = to_arrow_type(id_type)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, base = _Pool(), (1 << 62) + (TaskContext.get().partitionId() << 36)
+        pool, base, made = _Pool(), (1 << 62) + (TaskContext.get().partitionId() << 36), 0
+
+        def emit() -> pa.RecordBatch:
+            nonlocal made
+            out = []
+            for sequence in pool.packed(window, everything=True):
+                out += [(*p, base + made, at) for at, p in sequence]
+                made += 1
+            return _batch(out, id_arrow)
+
         for b in batches:
             for row in zip(*(b.column(c).to_pylist() for c in ("id", "start", "length", "doc_tokens", "ids")), strict=True):
                 pool.add(row[2], row)
-        for i, sequence in enumerate(pool.packed(window, everything=True)):
-            yield _batch([(*p, base + i, at) for at, p in sequence], id_arrow)
+            if pool.n >= 2 * pool_size:  # no more than some rows over ``pool_size`` were dealt to a task
+                yield emit()
+        yield emit()
 
     return run
 
