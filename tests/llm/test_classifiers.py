@@ -24,17 +24,70 @@ def test_nnpu_from_positive_and_unlabelled_rows():
     assert toxicity.fit_rows([], unl, 0.1).scores(["zork", None]).max() < 1e-9
 
 
-def test_risk_is_what_is_minimised():
-    """The gradient of the corrected risk by differences."""
-    r = np.random.default_rng(0)
-    rows = quality.Rows([np.array([0, 1]), np.array([1]), np.array([2])], [np.array([1.0, 2.0]), np.array([0.5]), np.array([1.0])])
-    g = r.normal(size=3)
-    w = r.normal(size=3)
-    e = 1e-6
+def sparse(g, n, width=12):
+    idx = [g.choice(width, size=g.integers(0, 6), replace=False) for _ in range(n)]
+    return hashed.Rows(idx, [g.random(len(i)) for i in idx]), [{int(a): 0.0 for a in i} for i in idx]
+
+
+def slope(f, x, j, e=1e-6):
+    d = np.zeros(len(x))
+    d[j] = e
+    return (f(x + d) - f(x - d)) / (2 * e)
+
+
+def test_corrected_risk_by_hand_and_by_differences():
+    g = np.random.default_rng(0)
+    p, u = sparse(g, 30)[0], sparse(g, 80)[0]
+    for prior, b, scale in ((0.3, 0.2, 0.5), (0.45, -3.0, 3.0)):
+        w = g.normal(size=12) * scale
+        dense = lambda rows: np.array([[rows.val[(rows.row == i) & (rows.idx == j)].sum() for j in range(12)] for i in range(rows.n)])
+        loss = lambda z, y: np.log1p(np.exp(-y * z)).mean()
+        z_p, z_u = dense(p) @ w + b, dense(u) @ w + b
+        whole, clean, by_w, by_b, toxic = toxicity.risk(p, u, w, b, prior)
+        assert abs(toxic - prior * loss(z_p, 1)) < 1e-9 and abs(clean - (loss(z_u, -1) - prior * loss(z_p, -1))) < 1e-9
+        assert abs(whole - (toxic + max(0, clean))) < 1e-12
+        for j in range(12):
+            assert abs(slope(lambda x: sum(toxicity.risk(p, u, x, b, prior)[i] for i in (1, 4)), w, j) - by_w[0][j]) < 1e-6
+            assert abs(slope(lambda x: -toxicity.risk(p, u, x, b, prior)[1], w, j) - by_w[1][j]) < 1e-6
+        assert abs(slope(lambda x: sum(toxicity.risk(p, u, w, x[0], prior)[i] for i in (1, 4)), np.array([b]), 0) - by_b[0]) < 1e-6
+        assert abs(slope(lambda x: -toxicity.risk(p, u, w, x[0], prior)[1], np.array([b]), 0) - by_b[1]) < 1e-6
+
+
+def test_ordinal_likelihood_by_hand_and_by_differences():
+    g = np.random.default_rng(1)
+    rows = sparse(g, 60)[0]
+    k, w, p = g.integers(0, 4, 60), g.normal(size=12), np.array([-0.7, -0.2, 0.4])
+    t = [-np.inf, *quality._ordered(p), np.inf]
+    assert (np.diff(t[1:-1]) > 0).all()
+    x = rows.dot(w)
+    chance = [1 / (1 + np.exp(-(t[a + 1] - z))) - 1 / (1 + np.exp(-(t[a] - z))) for a, z in zip(k, x)]
+    value, g_w, g_p = quality.likelihood(rows, k, w, p)
+    assert abs(value + np.log(chance).mean()) < 1e-9
+    for j in range(12):
+        assert abs(slope(lambda v: quality.likelihood(rows, k, v, p)[0], w, j) - g_w[j]) < 1e-6
     for j in range(3):
-        d = np.zeros(3)
-        d[j] = e
-        assert abs(((rows.dot(w + d) - rows.dot(w - d)) @ g) / (2 * e) - rows.back(g, 3)[j]) < 1e-6
+        assert abs(slope(lambda v: quality.likelihood(rows, k, w, v)[0], p, j) - g_p[j]) < 1e-6
+
+
+def test_a_repeated_id_teaches_once(spark):
+    rows = [(i, f"good text number {i % 7}") for i in range(60)] + [(100 + i, f"zork text number {i % 7}") for i in range(40)]
+    labels = spark.createDataFrame([(i, 1, int("zork" in t)) for i, t in rows], "doc_id long, quality int, toxic int")
+    once = spark.createDataFrame(rows, "doc_id long, text string")
+    often = spark.createDataFrame(rows + [(101, "good text number 3")] * 200 + rows[:5] * 50, "doc_id long, text string")
+    a, b = (toxicity.train(d, labels) for d in (often.where("not (doc_id = 101 and text like 'good%')"), once))
+    assert a.features.tolist() == b.features.tolist() and np.allclose(a.weights, b.weights)
+    assert len(toxicity.train(often, labels).features) > 0
+    g = labels.select("doc_id", F.col("toxic").alias("grade"))
+    a, b = quality.train(once.unionByName(once), g), quality.train(once, g)
+    assert np.allclose(a.thresholds, b.thresholds)
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "x y", 5, "a", 7.0)], "doc_id long, text string, grade int, idx string, expected_grade double")
+    ratings = spark.createDataFrame([(2, 0), (3, 1)], "doc_id long, grade int")
+    model = quality.train(docs, ratings)
+    got = quality.rate(docs, model, 1).first()
+    assert (got.grade, got.idx) == (5, "a") and 0 <= got.expected_grade <= 1
 
 
 def test_ordinal():

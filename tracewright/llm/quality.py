@@ -58,6 +58,21 @@ def _ordered(p: np.ndarray) -> np.ndarray:
     return np.concatenate([p[:1], p[0] + np.cumsum(np.exp(p[1:]))])
 
 
+def likelihood(rows: Rows, k: np.ndarray, w: np.ndarray, p: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean negative logarithm of the grades' probabilities, k being their places, and its gradients by w and by the
+    parameters p of the thresholds."""
+    n, i = len(k), np.arange(len(k))
+    below = np.zeros((n, len(p) + 2))
+    below[:, -1] = 1
+    below[:, 1:-1] = sigmoid(_ordered(p)[None, :] - rows.dot(w)[:, None])
+    high, low = below[i, k + 1], below[i, k]
+    chance = np.maximum(high - low, 1e-12)
+    d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
+    g_t = np.array([d_low[k == j + 1].sum() - d_high[k == j].sum() for j in range(len(p))]) / n
+    g_p = np.array([g_t[j:].sum() * (np.exp(p[j]) if j else 1.0) for j in range(len(p))])
+    return float(-np.log(chance).mean()), rows.back((d_high - d_low) / n, len(w)), g_p
+
+
 def fit_rows(rows: Rows, y: np.ndarray, steps: int = 200, rate: float = 0.1, ridge: float = 1e-4, least: int = 5) -> Model:
     """Maximum likelihood with a ridge, by Adam over all rows; thresholds are a first one and the logarithms of gaps."""
     grades = sorted(set(y.tolist()))
@@ -69,17 +84,10 @@ def fit_rows(rows: Rows, y: np.ndarray, steps: int = 200, rate: float = 0.1, rid
     share = np.cumsum(np.bincount(k))[:-1] / n
     start = np.log(share / (1 - share))
     p = np.concatenate([start[:1], np.log(np.maximum(np.diff(start), 1e-2))])
-    w, step_w, step_p, i = np.zeros(len(chosen)), Adam(len(chosen), rate), Adam(len(p), rate), np.arange(n)
+    w, step_w, step_p = np.zeros(len(chosen)), Adam(len(chosen), rate), Adam(len(p), rate)
     for _ in range(steps):
-        below = np.zeros((n, len(grades) + 1))
-        below[:, -1] = 1
-        below[:, 1:-1] = sigmoid(_ordered(p)[None, :] - rows.dot(w)[:, None])
-        high, low = below[i, k + 1], below[i, k]
-        chance = np.maximum(high - low, 1e-12)
-        d_high, d_low = high * (1 - high) / chance, low * (1 - low) / chance
-        g_t = np.array([d_low[k == j + 1].sum() - d_high[k == j].sum() for j in range(len(p))]) / n
-        g_p = np.array([g_t[j:].sum() * (np.exp(p[j]) if j else 1.0) for j in range(len(p))])
-        w -= step_w.step(rows.back((d_high - d_low) / n, len(w)) + ridge * w)
+        _, g_w, g_p = likelihood(rows, k, w, p)
+        w -= step_w.step(g_w + ridge * w)
         p -= step_p.step(g_p)
     return Model(grades, chosen, w, _ordered(p))
 
@@ -91,15 +99,17 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     known = ratings.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id"), F.col(grade_col).cast("int").alias("grade"))
     known = known.where("id is not null and grade is not null").groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = F.broadcast(known.join(picked(known.select("id"), most), "id", "left_semi"))  # at most ``most`` rows
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("grade", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "grade", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [style_of(t.as_py()) for t in b.column("text")]
             idx, val = pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([b.column("grade"), idx, val], ["grade", "idx", "val"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grade"), idx, val], ["id", "grade", "idx", "val"])
 
-    got = rows.mapInArrow(features, "grade int, idx array<int>, val array<float>").toArrow()
+    found = rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, grade int, idx array<int>, val array<float>")
+    # However often an id is repeated, one text of it counts.
+    got = found.groupBy("id", "grade").agg(F.min(F.struct("idx", "val")).alias("f")).select("grade", "f.*").toArrow()
     idx = [np.array(x, dtype=np.int32) for x in got.column("idx").to_pylist()]
     val = [np.array(x, dtype=np.float32) for x in got.column("val").to_pylist()]
     return fit_rows(Rows(idx, val), np.array(got.column("grade").to_pylist(), dtype=np.int64))

@@ -41,6 +41,19 @@ class Model:
         return sigmoid(np.array([dense[words_of(t)].sum() + self.bias for t in texts], dtype=np.float64))
 
 
+def risk(p: Rows, u: Rows, w: np.ndarray, b: float, prior: float) -> tuple:
+    """The corrected risk of a classifier, its part for clean text, and the gradients by w and by b: of the whole risk
+    with that part as it is, and of less of that part."""
+    z_p, z_u = p.dot(w) + b, u.dot(w) + b
+    s_p, s_u = sigmoid(z_p), sigmoid(z_u)
+    toxic = prior * np.logaddexp(0, -z_p).mean()
+    clean = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
+    up = [((s_p - 1) - s_p) * prior / p.n, s_u / u.n]
+    back = [s_p * prior / p.n, -s_u / u.n]
+    by_w = [p.back(g, len(w)) + u.back(h, len(w)) for g, h in (up, back)]
+    return toxic + max(0.0, clean), clean, by_w, [g.sum() + h.sum() for g, h in (up, back)], toxic
+
+
 def fit_rows(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, steps: int = 400, rate: float = 0.1, ridge: float = 1e-5, least: int = 5, deviations: float = 4.0) -> Model:
     """Features are the words whose share among the positive rows is off that among the unlabelled ones by so many
     standard deviations, and that occur so often; what is left is minimised by Adam over all rows."""
@@ -57,15 +70,10 @@ def fit_rows(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: fl
     w, b = np.zeros(len(chosen)), np.log(prior / (1 - prior))
     step = Adam(len(chosen) + 1, rate)
     for _ in range(steps):
-        z_p, z_u = p.dot(w) + b, u.dot(w) + b
-        s_p, s_u = sigmoid(z_p), sigmoid(z_u)
-        clean_risk = np.logaddexp(0, z_u).mean() - prior * np.logaddexp(0, z_p).mean()
-        if clean_risk >= 0:
-            g_p, g_u = (prior * (s_p - 1) - prior * s_p) / n_p, s_u / n_u
-        else:
-            g_p, g_u = prior * s_p / n_p, -s_u / n_u
-        g = np.append(p.back(g_p, len(w)) + u.back(g_u, len(w)) + ridge * w, g_p.sum() + g_u.sum())
-        d = step.step(g)
+        _, clean, g_w, g_b, _ = risk(p, u, w, b, prior)
+        # Below zero, a step back: down the correction alone.
+        g = np.append(g_w[0] if clean >= 0 else g_w[1], g_b[0] if clean >= 0 else g_b[1])
+        d = step.step(g + ridge * np.append(w, 0.0))
         w -= d[:-1]
         b -= d[-1]
     return Model(chosen, w, float(b))
@@ -91,14 +99,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     other = picked(docs.where(~held_out(F.col(id_col))).select(F.col(id_col).alias("id")), unlabelled).withColumn("toxic", F.lit(False))
     # At most ``positives + unlabelled`` ids.
     chosen = F.broadcast(toxic.unionByName(other))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("toxic", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").select("id", "toxic", "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [words_of(t.as_py()) for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["toxic", "f"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "f"])
 
-    got = rows.mapInArrow(features, "toxic boolean, f array<int>").toArrow()
+    found = rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, f array<int>")
+    # However often an id is repeated, one text of it counts.
+    got = found.groupBy("id", "toxic").agg(F.min("f").alias("f")).toArrow()
     flags = got.column("toxic").to_pylist()
     found = [np.array(f, dtype=np.int32) for f in got.column("f").to_pylist()]
     pick = lambda flag: [f for f, t in zip(found, flags, strict=True) if t is flag]
