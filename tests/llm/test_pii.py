@@ -44,9 +44,10 @@ def texts():
 
 def test_base_against_brute_force(spark):
     rows = [(i, t, "k") for i, t in enumerate(texts())]
-    df = spark.createDataFrame(rows, "doc_id long, text string, base string").drop("base").repartition(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string, base string").repartition(3)
+    df = df.withColumns({c: F.lit("mine") for c in ("spans", "proposed", "_text", "_number", "kind")})
     got = {x.doc_id: x for x in pii.find(df).collect()}
-    assert len(got) == len(rows)
+    assert len(got) == len(rows) and all((x["_text"], x["_number"], x["kind"]) == ("mine",) * 3 for x in got.values())
     for i, t, _ in rows:
         base = [tuple(s) for s in got[i].base]
         assert base == plain(t), (i, t)
@@ -82,3 +83,45 @@ def test_empty(spark):
     assert pii.find(df.limit(0)).count() == 0
     one = pii.find(df).select("*", pii.listed("spans").alias("s"), F.size("base").alias("n")).first()
     assert one.s == "" and one.n == 0
+
+
+def test_context_reaches_over_earlier_numbers(spark):
+    rows = [(i, f"call ({300 + i}) 555-{1000 + i}, ({300 + i}) 555-{2000 + i} or 4{i:02d} 13 {i:02d} 99") for i in range(40)]
+    found = pii.candidates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", F.explode("proposed").alias("x")).select("doc_id", "x.*")
+    votes = {}
+    for x in found.where("kind = 'phone'").collect():
+        votes.setdefault(x.doc_id, []).append(x.context)
+    assert all(v == [1, 1, 1] for v in votes.values()) and len(votes) == 40
+
+
+def plain_proposals(text):
+    """Spans of the wider patterns that touch no base span, by plain Python."""
+    base = plain(text)
+    out = []
+    for m in re.finditer(pii.NUMBER, text):
+        d = re.sub("[^0-9]", "", m[0])
+        kind = "card" if 13 <= len(d) <= 19 and luhn(d) else "phone" if 7 <= len(d) <= 12 else None
+        if kind and not any(s < m.end() and m.start() < e for _, s, e in base):
+            out.append((kind, m.start(), m.end()))
+    out += [("email", m.start(), m.end()) for m in re.finditer(pii.SPELT, text) if not any(s < m.end() and m.start() < e for _, s, e in base)]
+    return sorted(out)
+
+
+def test_added_spans_against_brute_force(spark):
+    """What is added is what the weights decide on the proposals found by plain Python."""
+    r = random.Random(5)
+    some = ["call (415) 555-0134", "card 4111-1111-1111-1111 7", "jo [at] mail.example.org", "order 20 30 40 50", "2023-04-11 1234567", "(030) 1234 567", "fax 030-123-4567", "version 1.20.31.4455", "a@b.de", "+1 (555) 555-1000", "x", "é"]
+    rows = [(i, t) for i, t in enumerate(texts())] + [(10_000 + i, " ".join(r.choice(some) for _ in range(r.randrange(1, 9)))) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = pii.candidates(docs)
+    model = pii.train(found)
+    proposed = {x.doc_id: [p for p in x.proposed if not p.base] for x in found.collect()}
+    out = {x.doc_id: x for x in pii.decide(found, model).collect()}
+    assert sum(map(len, proposed.values())) > 200
+    for x in docs.collect():
+        mine = proposed[x.doc_id]
+        assert sorted((p.kind, p.start, p.end) for p in mine) == plain_proposals(x.text or "")
+        votes = np.array([[p[v] for v in pii.LABELERS] for p in mine], dtype=float).reshape(len(mine), len(pii.LABELERS))
+        f = pii._features(votes, np.array([p.digits for p in mine]), np.array([p.groups for p in mine]))
+        want = {(p.kind, p.start, p.end) for p, row in zip(mine, f) if row @ np.array(model.weights[p.kind]) >= 0}
+        assert {tuple(s) for s in out[x.doc_id].spans} - {tuple(s) for s in out[x.doc_id].base} == want

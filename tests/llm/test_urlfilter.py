@@ -33,3 +33,14 @@ def test_empty(spark):
     assert urlfilter.judge(pages.limit(0), urlfilter.rule_table(spark)).count() == 0
     none = spark.createDataFrame([], "verdict string, host string, path string")
     assert {r.verdict for r in urlfilter.judge(pages, none, default="block").collect()} == {"block"}
+
+
+def test_many_shapes(spark):
+    """Rules of a thousand shapes, against brute force."""
+    rules = [("block" if i % 3 else "allow", ".".join(["a"] * (i % 20) + ["net"]), "/" * (1 + i // 20)) for i in range(1000)]
+    pages = [(i, "x://" + ".".join(["a"] * (i % 25) + ["net"]) + "/" * (i % 60)) for i in range(400)]
+    got = {r.page_id: (r.rule, r.verdict) for r in urlfilter.judge(spark.createDataFrame(pages, "page_id long, url string"), urlfilter.rule_table(spark, rules)).collect()}
+    for i, u in pages:
+        host, path = u[4:].split("/", 1)[0], u[4 + len(u[4:].split("/", 1)[0]) :]
+        fit = [(len(h + p), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        assert got[i] == (max(fit)[1:] if fit else (None, "allow")), u

@@ -6,8 +6,8 @@ estimates how reliable each labeler is, the base spans being known cases; and a
 resulting probabilities decides which proposals are added. Base spans always stay.
 
 Defined results: null text counts as empty and has no spans; repeated rows are handled once per row; where nothing is
-proposed nothing is added; columns other than the text are kept by ``find`` as they are, but for those that it makes;
-an empty table gives an empty table.
+proposed nothing is added; columns other than the text are kept by ``find`` as they are, but for ``base``, ``spans`` and
+``proposed``, whose place it takes; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -57,25 +57,27 @@ def _sql(s: str) -> str:
 
 
 def _spans(matches: str, gaps: str) -> Column:
-    """Start, end, text and the text before, of each match: the text is gap, match, gap, match, ..., gap."""
+    """Start, end, text and the text before, of each match: the text is gap, match, gap, match, ..., gap. What stands
+    before a match may reach over earlier ones."""
     return F.expr(f"""
-      zip_with(
-        aggregate(
-          zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> named_struct('gap', length(g), 'len', length(m))),
-          named_struct('out', cast(array() as array<struct<start:int, `end`:int>>), 'at', 0),
-          (a, x) -> named_struct('out', concat(a.out, array(named_struct('start', a.at + x.gap, 'end', a.at + x.gap + x.len))), 'at', a.at + x.gap + x.len),
-          a -> a.out),
-        zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> named_struct('before', lower(right(g, {CONTEXT})), 'value', m)),
-        (p, v) -> named_struct('start', p.start, 'end', p.`end`, 'before', v.before, 'value', v.value))""")
+      aggregate(
+        zip_with(slice({gaps}, 1, size({matches})), {matches}, (g, m) -> named_struct('gap', g, 'match', m)),
+        named_struct('out', cast(array() as array<struct<start:int, `end`:int, before:string, value:string>>), 'at', 0, 'tail', ''),
+        (a, x) -> named_struct(
+          'out', concat(a.out, array(named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.match),
+            'before', lower(right(concat(a.tail, right(x.gap, {CONTEXT})), {CONTEXT})), 'value', x.match))),
+          'at', a.at + length(x.gap) + length(x.match),
+          'tail', right(concat(a.tail, right(x.gap, {CONTEXT}), right(x.match, {CONTEXT})), {CONTEXT})),
+        a -> a.out)""")
 
 
 def _matched(df: DataFrame, text: str, name: str, pattern: str, needs: str | None) -> DataFrame:
     """``df`` with the spans of a pattern in column ``name``; offsets count code points."""
     found = F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))
     none = F.array().cast("array<string>")
-    df = df.withColumn("_m", F.when(F.contains(F.col(text), F.lit(needs)), found).otherwise(none) if needs else found)
-    df = df.withColumn("_g", F.when(F.size("_m") > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
-    return df.withColumn(name, _spans("_m", "_g")).drop("_m", "_g")
+    df = df.withColumn("__pii_m", F.when(F.contains(F.col(text), F.lit(needs)), found).otherwise(none) if needs else found)
+    df = df.withColumn("__pii_g", F.when(F.size("__pii_m") > 0, F.split(F.col(text), pattern, -1)).otherwise(none))
+    return df.withColumn(name, _spans("__pii_m", "__pii_g")).drop("__pii_m", "__pii_g")
 
 
 _digits = "regexp_replace(x.value, '[^0-9]', '')"
@@ -112,22 +114,22 @@ def _proposal(kind: str, base: bool) -> str:
 def candidates(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with ``base`` (kind, start, end of the base spans) and ``proposed`` (these and the wider patterns'
     spans, with votes and features)."""
-    df = docs.withColumn("_text", F.coalesce(F.col(text_col), F.lit("")))
+    df = docs.withColumn("__pii_text", F.coalesce(F.col(text_col), F.lit("")))
     for kind in KINDS:
-        df = _matched(df, "_text", f"_{kind}", BASE[kind], NEEDS[kind])
-        df = df.withColumn(f"_{kind}", F.expr(f"filter(_{kind}, x -> {_valid[kind]})"))
-    df = _matched(df, "_text", "_number", NUMBER, None)
-    df = _matched(df, "_text", "_spelt", SPELT, None)
-    base = F.concat(*(F.expr(f"transform(_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.`end`))") for k in KINDS))
+        df = _matched(df, "__pii_text", f"__pii_{kind}", BASE[kind], NEEDS[kind])
+        df = df.withColumn(f"__pii_{kind}", F.expr(f"filter(__pii_{kind}, x -> {_valid[kind]})"))
+    df = _matched(df, "__pii_text", "__pii_number", NUMBER, None)
+    df = _matched(df, "__pii_text", "__pii_spelt", SPELT, None)
+    base = F.concat(*(F.expr(f"transform(__pii_{k}, x -> named_struct('kind', '{k}', 'start', x.start, 'end', x.`end`))") for k in KINDS))
     df = df.withColumn("base", base)
     clear = "not exists(base, b -> b.start < x.`end` and x.start < b.`end`)"
-    parts = [F.expr(f"transform(_{k}, x -> {_proposal(k, True)})") for k in ("email", "card", "phone")]
+    parts = [F.expr(f"transform(__pii_{k}, x -> {_proposal(k, True)})") for k in ("email", "card", "phone")]
     parts += [
-        F.expr(f"transform(filter(_number, x -> length({_digits}) between 13 and 19 and luhn_check({_digits}) and {clear}), x -> {_proposal('card', False)})"),
-        F.expr(f"transform(filter(_number, x -> length({_digits}) between 7 and 12 and {clear}), x -> {_proposal('phone', False)})"),
-        F.expr(f"transform(filter(_spelt, x -> {clear}), x -> {_proposal('email', False)})"),
+        F.expr(f"transform(filter(__pii_number, x -> length({_digits}) between 13 and 19 and luhn_check({_digits}) and {clear}), x -> {_proposal('card', False)})"),
+        F.expr(f"transform(filter(__pii_number, x -> length({_digits}) between 7 and 12 and {clear}), x -> {_proposal('phone', False)})"),
+        F.expr(f"transform(filter(__pii_spelt, x -> {clear}), x -> {_proposal('email', False)})"),
     ]
-    return df.withColumn("proposed", F.concat(*parts)).drop("_text", "_number", "_spelt", *(f"_{k}" for k in KINDS))
+    return df.withColumn("proposed", F.concat(*parts)).drop("__pii_text", "__pii_number", "__pii_spelt", *(f"__pii_{k}" for k in KINDS))
 
 
 @dataclass

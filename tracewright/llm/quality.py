@@ -4,8 +4,8 @@ P(grade <= k) = sigmoid(t_k - w.x) with one weight vector w over hashed words an
 and ordered thresholds t_0 < t_1 < ...; a text gets its expected grade and the probability of a grade or more.
 
 Defined results: null text counts as empty, and both get what the thresholds alone say; repeated rows are scored once
-per row; null ratings teach nothing; with no rating, or one grade only, every text is selected and has that grade (0
-without any); columns other than those named are ignored; an empty table gives an empty table.
+per row; null ratings teach nothing; with one grade only, every text has that grade; without any rating every text is
+selected and its grade is 0; columns other than those named are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.common import text_batches
 from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, style_of
@@ -45,13 +46,13 @@ class Model:
         return sigmoid(f[:, None] - self.thresholds[None, :])
 
     def expected(self, tail: np.ndarray) -> np.ndarray:
-        g = np.array(self.grades, dtype=np.float64)
+        g = np.array(self.grades or [0], dtype=np.float64)
         return g[0] + tail @ np.diff(g)
 
     def tail(self, tail: np.ndarray, grade: int) -> np.ndarray:
         """The probability of ``grade`` or more."""
         k = int(np.searchsorted(self.grades, grade))
-        return np.ones(len(tail)) if k == 0 else np.zeros(len(tail)) if k == len(self.grades) else tail[:, k - 1]
+        return np.ones(len(tail)) if k == 0 or not self.grades else np.zeros(len(tail)) if k == len(self.grades) else tail[:, k - 1]
 
 
 def _ordered(p: np.ndarray) -> np.ndarray:
@@ -77,7 +78,7 @@ def fit_rows(rows: Rows, y: np.ndarray, steps: int = 200, rate: float = 0.1, rid
     """Maximum likelihood with a ridge, by Adam over all rows; thresholds are a first one and the logarithms of gaps."""
     grades = sorted(set(y.tolist()))
     if len(grades) < 2:
-        return Model(grades or [0], np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
+        return Model(grades, np.zeros(0, dtype=np.int64), np.zeros(0), np.zeros(0))
     k, n = np.searchsorted(grades, y), len(y)
     chosen = np.flatnonzero(rows.frequent(min(least, max(1, n // 20)), BUCKETS))
     rows = rows.only(chosen)
@@ -115,19 +116,19 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     return fit_rows(Rows(idx, val), np.array(got.column("grade").to_pylist(), dtype=np.int64))
 
 
-def rate(docs: DataFrame, model: Model, grade: int, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``expected_grade`` and ``tail_probability``, that of ``grade`` or more, of each whole text."""
+def rate(docs: DataFrame, model: Model, grade: int, text_col: str = "text", out: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """``docs`` with ``expected_grade`` and ``tail_probability``, that of ``grade`` or more, of each whole text, or under the
+    names ``out``, whose columns they take the place of."""
     text_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             t = model.at_least(b.column(text_col).to_pylist())
             new = [pa.array(model.expected(t), pa.float64()), pa.array(model.tail(t, grade), pa.float64())]
-            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, "expected_grade", "tail_probability"])
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *out])
 
-    kept = docs.select(*[c for c in docs.columns if c not in ("expected_grade", "tail_probability")])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, expected_grade double, tail_probability double")
+    kept = docs.select(*[c for c in docs.columns if c not in out])
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(c, T.DoubleType()) for c in out)]))
 
 
 def grades(labels: DataFrame) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, materialize, text_batches
+from tracewright.llm.common import components, join_counted, materialize, text_batches
 
 SEED = 42
 #: Fingerprints of one bucket that are compared in one place; larger buckets are split in chunks of about this size.
@@ -147,9 +147,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprints, so copies cost nothing, and links of different fingerprints only.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
-    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least")), "classes")
-    found = components(links(classes.select("fp"), max_distance, blocks))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = materialize(named.join(least, "root").select("fp", "component_id"), "named")
-    return prints.join(named, "fp").select(id_col, "fp", "component_id")
+    classes = materialize(prints.groupBy("fp").agg(F.min(id_col).alias("least"), F.count("*").alias("rows")), "classes")
+    found = components(links(classes.select("fp"), max_distance, blocks)).withColumnRenamed("node", "fp")
+    linked = materialize(classes.join(found, "fp"), "linked")
+    least = linked.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    linked = join_counted(linked.drop("least"), least, "root", "n", linked.count()).select("fp", "rows", "component_id")
+    alone = classes.join(found.select("fp"), "fp", "left_anti").select("fp", "rows", F.col("least").alias("component_id"))
+    named = materialize(linked.unionByName(alone), "named")
+    return join_counted(prints, named, "fp", "rows", prints.count()).select(id_col, "fp", "component_id")

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.llm.common import text_batches
 from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, words_of
@@ -125,5 +126,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out_col])
 
     kept = docs.select(*[c for c in docs.columns if c != out_col])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return kept.mapInArrow(run, f"{schema}, `{out_col}` double")
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.DoubleType())]))

@@ -10,6 +10,7 @@ rules for one expression, block wins.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -48,8 +49,9 @@ def rule_table(spark, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFram
 def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col: str = "url", default: str = "allow", broadcast_rules: int = BROADCAST_RULES) -> DataFrame:
     """``id_col, host, path, rule, verdict``; ``rule`` is the deciding host and path, null where none fits.
 
-    Only shapes (labels of the host, characters of the path) that some rule has are expanded; their number is that of
-    the rules' distinct shapes, counted on the rules alone. Rows of the same id and URL are counted before the
+    Only shapes (labels of the host, characters of the path) that some rule has are expanded. They go into the plan as
+    one constant, a list of path lengths for each number of labels; hosts have some dozens of labels at most and paths
+    some thousands of characters, which bounds it whatever the number of rules. Rows of the same id and URL are counted before the
     expansion, so a hot URL is expanded once for each id; nothing is grouped by host or expression.
     """
     rules = rules.where("host is not null and path is not null").select(
@@ -60,7 +62,7 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
         F.length("path").alias("chars"),
     )
     rules = rules.groupBy("full", "rule", "labels", "chars").agg(F.max("verdict").alias("verdict"))
-    shapes = [(r.labels, r.chars) for r in rules.select("labels", "chars").distinct().collect()]
+    shapes = {r.labels: sorted(r.chars) for r in rules.groupBy("labels").agg(F.collect_set("chars").alias("chars")).collect()}
     few = rules.limit(broadcast_rules + 1).count() <= broadcast_rules
     rules = rules.select(F.substring("full", 1, SHORT).alias("short"), "full", "rule", "verdict")
 
@@ -68,15 +70,16 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rows = rows.groupBy("id", "url").agg(F.count("*").alias("n"))
     rows = rows.select("id", "url", "n", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     parts = F.split("host", r"\.", -1)
-    made = [
-        F.when(
-            (F.size(parts) >= labels) & (F.length("path") >= chars) & (F.length("host") > 0),
-            F.sha2(F.concat(F.array_join(F.slice(parts, -labels, labels), "."), F.substring("path", 1, chars)), 256),
-        )
-        for labels, chars in shapes
-    ]
+    lengths = F.from_json(F.lit(json.dumps([shapes.get(n + 1, []) for n in range(max(shapes, default=0))])), "array<array<int>>")
+
+    def expressions(labels: Column) -> Column:
+        fit = F.filter(F.coalesce(F.try_element_at(lengths, labels), F.array().cast("array<int>")), lambda n: n <= F.length("path"))
+        host = F.array_join(F.slice(parts, -labels, labels), ".")
+        return F.transform(fit, lambda n: F.sha2(F.concat(host, F.substring("path", F.lit(1), n)), 256))
+
+    made = F.flatten(F.transform(F.sequence(F.lit(1), F.size(parts)), expressions))
     # The null keeps URLs that have no expression at all.
-    full = F.array_append(F.array_compact(F.array(*made)), F.lit(None)) if made else F.array(F.lit(None).cast("string"))
+    full = F.array_append(F.when(F.length("host") > 0, made).otherwise(F.array().cast("array<string>")), F.lit(None))
     rows = rows.select("id", "url", "n", "host", "path", F.explode(full).alias("full"))
     rows = rows.withColumn("short", F.substring("full", 1, SHORT))
     if few:
