@@ -107,18 +107,15 @@ def readings(lines: Sequence[Line]) -> list[Reading]:
     return out
 
 
-def frame_hits(lines: Sequence[Line]) -> list[dict]:
-    """Personal data on one frame, a hit for each place; of overlapping boxes of one value the tighter."""
+def tightest(found: list[dict]) -> list[dict]:
+    """A hit for each place, in reading order; of overlapping boxes of one value the tighter."""
     kept: list[dict] = []
-    for reading in readings(lines):
-        found = personal.spans(reading.text)
-        for s in found:
-            hit = {"kind": s.kind, "value_masked": personal.mask(s.kind, s.raw), "box": reading.box(s.start, s.end), "context": personal.context(reading.text, s, found), "raw": s.raw}
-            twin = next((k for k in kept if (k["kind"], k["value_masked"]) == (hit["kind"], hit["value_masked"]) and (k["box"] == hit["box"] or overlap(k["box"], hit["box"]))), None)
-            if twin is None:
-                kept.append(hit)
-            elif hit["box"][2] * hit["box"][3] < twin["box"][2] * twin["box"][3]:
-                twin.update(hit)
+    for hit in found:
+        same = [k for k in kept if (k["kind"], k["value_masked"]) == (hit["kind"], hit["value_masked"]) and (k["box"] == hit["box"] or overlap(k["box"], hit["box"]))]
+        if not same:
+            kept.append(dict(hit))
+        elif hit["box"][2] * hit["box"][3] < same[0]["box"][2] * same[0]["box"][3]:
+            same[0].update(hit)
     return sorted(kept, key=lambda k: (k["box"][1], k["box"][0], personal.ORDER[k["kind"]]))
 
 
@@ -151,13 +148,32 @@ def merge_rows(lines: DataFrame) -> DataFrame:
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:
-    """``run_id, index, n, kind, value_masked, context, x, y, w, h`` of personal data on frames."""
-
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out = [(df["run_id"].iloc[0], df["index"].iloc[0], i, h["kind"], h["value_masked"], h["context"], *h["box"]) for i, h in enumerate(frame_hits(_lines(df)))]
+    """``run_id, index, n, kind, value_masked, context, x, y, w, h`` of personal data on frames. Boxes become texts frame by
+    frame, texts are scanned by expressions, and hits come together on their frame again."""
+
+    def texts(df: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for i, r in enumerate(readings(_lines(df))):
+            out.append((df["run_id"].iloc[0], df["index"].iloc[0], i, r.text, [(a, b, *l.box) for l, (a, b) in zip(r.lines, r.ranges, strict=True)]))
+        return pd.DataFrame(out, columns=["run_id", "index", "reading", "text", "parts"])
+
+    read = lines.groupBy("run_id", "index").applyInPandas(texts, "run_id string, index int, reading int, text string, parts array<struct<a:int,b:int,x:int,y:int,w:int,h:int>>")
+    found = personal.find(read)
+    hit = F.transform("found", lambda f: F.struct(f.kind.alias("kind"), f.masked.alias("value_masked"), f.start.alias("start"), f.end.alias("end"), personal.context(F.col("text"), F.col("found"), f).alias("context")))
+    rows = found.where(F.size("found") > 0).select("run_id", "index", "reading", "parts", F.posexplode(hit).alias("k", "f"))
+    on = F.filter("parts", lambda p: (p.a < F.col("f.end")) & (p.b > F.col("f.start")))
+    edge = lambda f, of: of(F.transform(on, f))
+    x, y = edge(lambda p: p.x, F.array_min), edge(lambda p: p.y, F.array_min)
+    w, h = edge(lambda p: p.x + p.w, F.array_max) - x, edge(lambda p: p.y + p.h, F.array_max) - y
+    rows = rows.select("run_id", "index", "reading", "k", "f.kind", "f.value_masked", "f.context", x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
+
+    def once(df: pd.DataFrame) -> pd.DataFrame:
+        df = df.sort_values(["reading", "k"])
+        kept = tightest([{"kind": r.kind, "value_masked": r.value_masked, "context": r.context, "box": (r.x, r.y, r.w, r.h)} for r in df.itertuples()])
+        out = [(df["run_id"].iloc[0], df["index"].iloc[0], i, h["kind"], h["value_masked"], h["context"], *h["box"]) for i, h in enumerate(kept)]
         return pd.DataFrame(out, columns=["run_id", "index", "n", "kind", "value_masked", "context", "x", "y", "w", "h"])
 
-    return lines.groupBy("run_id", "index").applyInPandas(run, "run_id string, index int, n int, kind string, value_masked string, context string, x int, y int, w int, h int")
+    return rows.groupBy("run_id", "index").applyInPandas(once, "run_id string, index int, n int, kind string, value_masked string, context string, x int, y int, w int, h int")
 
 
 def locate(hits: DataFrame, lines: DataFrame) -> DataFrame:
