@@ -6,10 +6,12 @@ is one projection: an array of findings per text, exploded at the end. No join,
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import phrase_pattern
+from tracewright.functions.text import WORD, phrase_pattern
 
 # The word lists that the rules go by.
 SOFT_JOINERS = ["and"]
@@ -58,27 +60,45 @@ def _finding(rule: str, severity: str, message: Column) -> Column:
     return F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), message.alias("message"))
 
 
-def _key(phrase: str) -> str:
-    """The first word of a phrase, as ``words_hit`` knows it."""
-    import re
+def _is_word(phrase: str) -> bool:
+    return re.fullmatch(r"[\w-]+", phrase) is not None
+
 
+def _key(phrase: str) -> str:
+    """The first word of a phrase."""
     return re.match(r"[\w-]+", phrase)[0]
 
 
+LISTS = (SOFT_JOINERS, JOINERS, VAGUE, ESCAPES, OPEN_ENDED, IMPLEMENTATION, ABSOLUTES)
+WORDS = sorted({p for x in LISTS for p in x if _is_word(p)})
+PHRASES = sorted({p for x in LISTS for p in x if not _is_word(p)})
+#: Any of the phrases from here on, at every place: they may overlap.
+ANY_PHRASE = r"(?iU)(?<![\w-])(?=(" + "|".join(r"\s+".join(re.sub(r"([^\w])", r"\\\1", w) for w in p.split()) for p in PHRASES) + r")(?![\w-]))"
+
+
 def words_hit(text: Column) -> Column:
-    """The first words of all phrases that a text holds: one pass over the text, after which only phrases that may be
-    there are looked for. Put it in a column of its own before several rules use it."""
-    keys = sorted({_key(p) for p in (*SOFT_JOINERS, *JOINERS, *VAGUE, *ESCAPES, *OPEN_ENDED, *IMPLEMENTATION, *ABSOLUTES)})
-    return F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(*map(F.lit, keys)))
+    """The listed words and phrases that a text holds, in the order of their first places: one pass over its words, and
+    one for phrases where a first word of one is there. Put it in a column of its own before several rules use it."""
+    keys = sorted({*WORDS, *map(_key, PHRASES)})
+    found = F.array_intersect(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+"), F.lit(0)), F.array(*map(F.lit, keys)))
+    whole = F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(ANY_PHRASE), F.lit(1)), lambda p: F.lower(F.regexp_replace(p, WORD + r"\s+", " "))))
+    some = F.arrays_overlap(found, F.array(*map(F.lit, sorted(set(map(_key, PHRASES))))))
+    return F.struct(found.alias("words"), F.when(some, whole).otherwise(F.array().cast("array<string>")).alias("phrases"))
 
 
 def phrases_found(text: Column, phrases: list[str], hits: Column | None = None) -> Column:
-    """The phrases that occur, by first position and then as text."""
-    at = [F.regexp_instr(text, F.lit(phrase_pattern(p))) for p in phrases]
-    if hits is not None:
-        at = [F.when(F.array_contains(hits, _key(p)), i).otherwise(0) for i, p in zip(at, phrases, strict=True)]
-    found = F.array(*(F.when(i > 0, F.struct(i.alias("at"), F.lit(p).alias("phrase"))) for i, p in zip(at, phrases, strict=True)))
-    return F.transform(F.array_sort(F.array_compact(found)), lambda h: h.phrase)
+    """Those of the listed ``phrases`` that occur, by first position and then as text. A word is among the text's words;
+    places are looked up only where a phrase of several words has to be put among them."""
+    hits = words_hit(text) if hits is None else hits
+    words = F.array_intersect(hits.getField("words"), F.array(*map(F.lit, [p for p in phrases if _is_word(p)])))
+    longer = [p for p in phrases if not _is_word(p)]
+    if not longer:
+        return words
+    several = F.array_intersect(hits.getField("phrases"), F.array(*map(F.lit, longer)))
+    all_found = F.concat(words, several)
+    at = [F.when(F.array_contains(all_found, p), F.struct(F.regexp_instr(text, F.lit(phrase_pattern(p))).alias("at"), F.lit(p).alias("phrase"))) for p in phrases]
+    placed = F.transform(F.array_sort(F.array_compact(F.array(*at))), lambda h: h.phrase)
+    return F.when(F.size(several) == 0, words).when((F.size(words) == 0) & (F.size(several) == 1), several).otherwise(placed)
 
 
 def _listed(text: Column, phrases: list[str], rule: str, severity: str, after: str, hits: Column | None) -> Column:
@@ -135,9 +155,9 @@ def missing_actor(statement: Column) -> Column:
 
 def passive(text: Column) -> Column:
     """The first passive form whose participle has four letters or more and is no other word; at most one finding."""
-    hits = F.arrays_zip(F.regexp_extract_all(text, F.lit(PASSIVE), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(PASSIVE), F.lit(2)).alias("word"))
-    real = F.filter(hits, lambda h: (F.length(h.word) >= 4) & ~F.lower(h.word).isin(*NOT_PARTICIPLES))
-    return F.transform(F.slice(real, 1, 1), lambda h: _finding("passive-voice", "info", F.concat(F.lit('"'), h.whole, F.lit('" is passive, so say who or what does it.'))))
+    word = lambda h: F.regexp_extract(h, PASSIVE, 2)
+    real = F.filter(F.regexp_extract_all(text, F.lit(PASSIVE), F.lit(0)), lambda h: (F.length(word(h)) >= 4) & ~F.lower(word(h)).isin(*NOT_PARTICIPLES))
+    return F.transform(F.slice(real, 1, 1), lambda h: _finding("passive-voice", "info", F.concat(F.lit('"'), h, F.lit('" is passive, so say who or what does it.'))))
 
 
 def word_count(text: Column) -> Column:
@@ -165,7 +185,11 @@ def no_outcome(then: Column) -> Column:
 def requirement_findings(statement: Column, hits: Column | None = None) -> Column:
     """Findings on a statement; ``hits`` are ``words_hit`` of it, if they are at hand."""
     s = F.trim(F.coalesce(statement, F.lit("")))
-    all_rules = [joined(F.regexp_replace(s, SO_THAT, ""), hits=hits), vague(s, hits=hits), escapes(s, hits=hits), open_ended(s, hits=hits), implementation(s, hits)]
+    hits = words_hit(s) if hits is None else hits
+    # What follows "so that" joins nothing; few texts have it.
+    lead = F.regexp_replace(s, SO_THAT, "")
+    clauses = F.when(s.rlike(r"(?iU)\sso that\b|,so that\b"), joined(lead)).otherwise(joined(s, hits=hits))
+    all_rules = [clauses, vague(s, hits=hits), escapes(s, hits=hits), open_ended(s, hits=hits), implementation(s, hits)]
     all_rules += [missing_actor(s), passive(s), too_long(s), absolutes(s, hits)]
     return F.when(s == "", F.array(_finding("empty-clause", "warn", F.lit("The statement is empty.")))).otherwise(F.concat(*all_rules))
 

@@ -38,7 +38,7 @@ def items(t: Tables) -> DataFrame:
 def candidates(item_rows: DataFrame, expected: DataFrame) -> DataFrame:
     """Pairs ``run_id, category, spec_pos, item_pos`` that match: within a category, by expressions alone."""
     e = expected.select("category", F.col("pos").alias("spec_pos"), "groups", "screen_groups")
-    joined = item_rows.withColumnRenamed("pos", "item_pos").join(F.broadcast(e), "category")  # a key is a page that a person wrote
+    joined = item_rows.withColumnRenamed("pos", "item_pos").join(e, "category")
     screen = F.col("screen_groups").isNull() | (F.size("screen_groups") == 0) | matches_all(F.col("screen"), F.col("screen_groups"))
     return joined.where(matches_all(F.col("text"), F.col("groups")) & screen).select("run_id", "category", "spec_pos", "item_pos")
 
@@ -69,7 +69,7 @@ def score(t: Tables, expected: DataFrame, runs: DataFrame) -> DataFrame:
     want = expected.groupBy("category").agg(F.count("*").alias("expected"))
     names = runs.sparkSession.createDataFrame([(c,) for c in CATEGORIES], "category string")
     grid = runs.select("run_id").crossJoin(F.broadcast(names))  # five rows a run
-    out = grid.join(F.broadcast(want), "category", "left").join(have, ["run_id", "category"], "left").join(hits, ["run_id", "category"], "left")
+    out = grid.join(want, "category", "left").join(have, ["run_id", "category"], "left").join(hits, ["run_id", "category"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     out = out.select("run_id", "category", zero("expected"), zero("found"), zero("have"))
     recall = F.coalesce(F.try_divide(F.col("found"), F.col("expected")), F.lit(0.0))
@@ -85,7 +85,29 @@ def overall(scores: DataFrame) -> DataFrame:
 def missed(t: Tables, expected: DataFrame, runs: DataFrame) -> DataFrame:
     """The expectations that nothing was found for."""
     hits = assigned(candidates(items(t), expected)).select("run_id", "category", F.col("spec_pos").alias("pos"))
-    return runs.select("run_id").crossJoin(F.broadcast(expected)).join(hits, ["run_id", "category", "pos"], "left_anti")
+    return runs.select("run_id").crossJoin(expected).join(hits, ["run_id", "category", "pos"], "left_anti")
+
+
+def report(scores: DataFrame, missing: DataFrame, traces: DataFrame, writing: DataFrame) -> DataFrame:
+    """``run_id, report``: a table of categories, what was missed, traceability and writing, as text. Out of ``score``,
+    ``missed``, ``traceability`` and ``lint.writing_summary``; runs without rows in the last have no warnings."""
+    rank = F.array_position(F.array(*map(F.lit, CATEGORIES)), F.col("category"))
+    row = F.format_string("%-14s%10d%8d%8.2f%8d", "category", "expected", "found", F.bround("recall", 2), "extras")
+    listed = lambda *key: F.transform(F.sort_array(F.collect_list(F.struct(*key, "line"))), lambda x: x.line)
+    table = scores.withColumn("line", row).groupBy("run_id").agg(listed(rank.alias("r")).alias("rows"))
+    spec = F.when(F.size("groups") == 1, F.col("groups")[0]).otherwise(F.concat(F.lit('["'), F.array_join("groups", '", "'), F.lit('"]')))
+    gone = missing.withColumn("line", F.concat(F.lit("  "), "category", F.lit(": "), spec)).groupBy("run_id").agg(listed(rank.alias("r"), F.col("pos")).alias("gone"))
+    out = table.join(gone, "run_id", "left").join(traces, "run_id", "left").join(writing, "run_id", "left").join(overall(scores), "run_id")
+    n = lambda label, c: F.concat(F.lit(f"  {label}: "), F.coalesce(F.col(c), F.lit(0)).cast("string"))
+    rules = F.when(F.size("rules_seen") > 0, F.array_join("rules_seen", ", ")).otherwise("(none)")
+    text = F.concat_ws(
+        "\n", F.format_string("%-14s%10s%8s%8s%8s", *map(F.lit, ("Category", "Expected", "Found", "Recall", "Extras"))), F.array_join("rows", "\n"),
+        F.lit("Missed:"), F.coalesce(F.array_join("gone", "\n"), F.lit("  (none)")),
+        F.lit("Traceability:"), n("requirements without source quote", "requirements_without_source_quote"), n("acceptance criteria with unknown requirement", "criteria_with_unknown_requirement"), n("negative keyframe indexes", "negative_keyframe_indexes"),
+        F.lit("Writing:"), n("requirements with warnings", "requirements_with_warnings"), n("acceptance criteria with warnings", "criteria_with_warnings"), F.concat(F.lit("  rules seen: "), rules),
+        F.format_string("Overall recall: %.2f", F.bround("overall_recall", 2)),
+    )
+    return out.select("run_id", text.alias("report"))
 
 
 def traceability(t: Tables, runs: DataFrame) -> DataFrame:
