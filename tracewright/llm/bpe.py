@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import text_batches
+from tracewright.llm.common import text_batches, tidied
 
 VOCABULARY = "byte_bpe_50k.json"
 #: Leaves of documents, in characters: longer documents are spread over tasks.
@@ -230,12 +230,12 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path
     path = path or vocabulary_path()
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    short = rows.where(F.length("text") <= leaf).mapInArrow(_encode_rows(path), f"id {kind}, ids binary")
+    short = rows.where(F.length("text") <= leaf).mapInArrow(tidied(_encode_rows(path)), f"id {kind}, ids binary")
     rows = rows.where(F.length("text") > leaf).withColumn("key", F.sha2("text", 256))
     cuts = F.sequence(F.lit(0), ((F.length("text") - 1) / leaf).cast("int"))
     leaves = rows.select("key", "text", F.explode(cuts).alias("pos")).select("key", "pos", F.expr(f"substring(text, pos * {leaf} + 1, {leaf})").alias("text"))
     # Copies of a text are one from here on; the exchange of this step deals the leaves out, too.
-    leaves = leaves.dropDuplicates(["key", "pos"]).mapInArrow(_encode_rows(path), "key string, pos int, text string, ids binary")
+    leaves = leaves.dropDuplicates(["key", "pos"]).mapInArrow(tidied(_encode_rows(path)), "key string, pos int, text string, ids binary")
     whole = leaves.groupBy("key").applyInPandas(_join_rows(path), "key string, ids binary")
     long = rows.select("id", "key").join(whole, "key").select("id", "ids")
     return short.unionByName(long).withColumnRenamed("id", id_col)
@@ -283,4 +283,4 @@ def decode(encoded: DataFrame, ids_col: str = "ids", out_col: str = "decoded", p
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, out_col])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out_col)
-    return encoded.select(*[c for c in encoded.columns if c != out_col]).mapInArrow(run, f"{schema}, `{out_col}` string")
+    return encoded.select(*[c for c in encoded.columns if c != out_col]).mapInArrow(tidied(run), f"{schema}, `{out_col}` string")

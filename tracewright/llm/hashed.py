@@ -21,7 +21,7 @@ def _bucket(name: str, seed: int) -> int:
 class _Cache(dict):
     """Name -> feature; starts anew when it has grown large."""
 
-    MOST = 300_000
+    MOST = 1 << 16
 
     def __init__(self, make):
         super().__init__()

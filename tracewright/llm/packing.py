@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.llm.bpe import encoder, vocabulary_path
-from tracewright.llm.common import materialize, text_batches
+from tracewright.llm.common import materialize, text_batches, tidied
 
 WINDOW = 2048
 #: Pieces that a task holds at most before it packs what it has.
@@ -110,12 +110,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     path = path or vocabulary_path()
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    first = materialize(rows.mapInArrow(_first(path, window, end_id, pool, rows.schema["id"].dataType), f"id {kind}, {FIELDS}"), "packed")
+    first = materialize(rows.mapInArrow(tidied(_first(path, window, end_id, pool, rows.schema["id"].dataType)), f"id {kind}, {FIELDS}"), "packed")
     rest = first.where("sequence_id is null")
     tasks = max(1, -(-rest.count() // pool))
     # Dealt in turn, so that repeats of one row don't meet in one task; Spark orders the rows of a task before that.
     rest = rest.repartition(tasks).withColumn("crc", F.crc32("ids")).sortWithinPartitions("length", "id", "start", "crc").drop("crc")
-    rest = materialize(rest.mapInArrow(_second(window, pool, rows.schema["id"].dataType), f"id {kind}, {FIELDS}"), "rests")
+    rest = materialize(rest.mapInArrow(tidied(_second(window, pool, rows.schema["id"].dataType)), f"id {kind}, {FIELDS}"), "rests")
     return first.where("sequence_id is not null").unionByName(rest).withColumnRenamed("id", id_col)
 
 

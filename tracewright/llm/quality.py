@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import text_batches
+from tracewright.llm.common import text_batches, tidied
 from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, style_of
 from tracewright.llm.toxicity import held_out, picked
 
@@ -108,7 +108,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
             idx, val = pa.array([f[0] for f in found], pa.list_(pa.int32())), pa.array([f[1] for f in found], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("grade"), idx, val], ["id", "grade", "idx", "val"])
 
-    found = rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, grade int, idx array<int>, val array<float>")
+    found = rows.mapInArrow(tidied(features), f"id {rows.schema['id'].dataType.simpleString()}, grade int, idx array<int>, val array<float>")
     # However often an id is repeated, one text of it counts.
     got = found.groupBy("id", "grade").agg(F.min(F.struct("idx", "val")).alias("f")).select("grade", "f.*").toArrow()
     idx = [np.array(x, dtype=np.int32) for x in got.column("idx").to_pylist()]
@@ -128,7 +128,7 @@ def rate(docs: DataFrame, model: Model, grade: int, text_col: str = "text", out:
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *out])
 
     kept = docs.select(*[c for c in docs.columns if c not in out])
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *(T.StructField(c, T.DoubleType()) for c in out)]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields, *(T.StructField(c, T.DoubleType()) for c in out)]))
 
 
 def grades(labels: DataFrame) -> DataFrame:

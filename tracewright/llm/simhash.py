@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, join_counted, materialize, text_batches
+from tracewright.llm.common import components, join_counted, materialize, text_batches, tidied
 
 SEED = 42
 #: Fingerprints of one bucket that are compared in one place; larger buckets are split in chunks of about this size.
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column("id"), fp], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
+    return rows.mapInArrow(tidied(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long").withColumnRenamed("id", id_col)
 
 
 def block_masks(max_distance: int, blocks: int, bits: int = 64) -> list[int]:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracewright.llm.common import text_batches
+from tracewright.llm.common import text_batches, tidied
 from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, words_of
 
 #: Examples that the classifier is fitted on at most, picked by a hash of their id.
@@ -107,7 +107,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [words_of(t.as_py()) for t in b.column("text")]
             yield pa.RecordBatch.from_arrays([b.column("id"), b.column("toxic"), pa.array(found, pa.list_(pa.int32()))], ["id", "toxic", "f"])
 
-    found = rows.mapInArrow(features, f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, f array<int>")
+    found = rows.mapInArrow(tidied(features), f"id {rows.schema['id'].dataType.simpleString()}, toxic boolean, f array<int>")
     # However often an id is repeated, one text of it counts.
     got = found.groupBy("id", "toxic").agg(F.min("f").alias("f")).toArrow()
     flags = got.column("toxic").to_pylist()
@@ -126,4 +126,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s, pa.float64())], [*b.schema.names, out_col])
 
     kept = docs.select(*[c for c in docs.columns if c != out_col])
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(out_col, T.DoubleType())]))
+    return kept.mapInArrow(tidied(run), T.StructType([*kept.schema.fields, T.StructField(out_col, T.DoubleType())]))
