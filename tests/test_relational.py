@@ -235,6 +235,65 @@ def test_delta(spark, t):
     assert col(out["questions"], "id", "status", "answer")[-1] == ("Q003", "open", None)
 
 
+def test_mentions_meet_by_first_words(spark):
+    """Against all pairs of terms and texts."""
+    from tracewright.functions.text import mentions
+    from tracewright.operators import gaps
+
+    terms = ["Member", "member name", "C++", "loan", "bus", "class", "box", "e-mail", "100%", "Ünit", "the desk", "- dash", "a.b c", "glass door"]
+    texts = ["Members pay", "the member\nnames", "member-name", "remember", "we use c++ here", "LOANS, boxes and buses", "classes glasses", "an E-Mail e-mails", "100% of", "ünits", "desk the  desks", "dash", "a.b c", "glass-doors", "", None]
+    t = spark.createDataFrame([("r", x, i % 2 == 0) for i, x in enumerate(terms)], "run_id string, term string, plural boolean")
+    x = spark.createDataFrame([("r", i, y) for i, y in enumerate(texts)] + [("other", 99, "Member")], "run_id string, i int, text string")
+    got = {(y.term, y.i) for y in gaps.mentioned(t, "term", x, "text", plural=F.col("plural")).collect()}
+    said = F.when(F.col("plural"), mentions(F.col("term"), F.col("text"))).otherwise(mentions(F.col("term"), F.col("text"), plural=False))
+    want = {(y.term, y.i) for y in t.join(x, "run_id").where(said).collect()}
+    assert got == want and len(want) > 10
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    r = random.Random(4)
+    base = ["member name", "Loan status", "card number", "shelf-mark", "Fines", "status", "archive box"]
+    terms = {t for b in base for t in [b, b.upper(), b + "s", b.replace(" ", ""), *("".join(c for i, c in enumerate(b) if i not in r.sample(range(len(b)), k)) for k in (1, 2, 3)), b[:2] + "xy" + b[2:], b[:3] + "q" + b[4:]]}
+    rows = [("r", i, t, r.choice(["field", "action"]), "w") for i, t in enumerate(sorted(terms))]
+    e = spark.createDataFrame(rows, "run_id string, pos int, term string, kind string, `where` string")
+    got = {(x[0], x[1], x.reason) for x in glossary.near_duplicates(e).select(F.col("a.term"), F.col("b.term"), "reason").collect()}
+    a, b = e.alias("a"), e.alias("b")
+    every = a.join(b, F.col("a.pos") < F.col("b.pos")).withColumn("reason", glossary.how_they_differ(F.col("a.term"), F.col("b.term"), F.col("a.kind") == F.col("b.kind")))
+    assert got == {(x[0], x[1], x.reason) for x in every.where("reason is not null").select(F.col("a.term"), F.col("b.term"), "reason").collect()} and len(got) > 40
+
+
+def test_usage_cents(spark):
+    u = spark.createDataFrame([("m", 1000, 200, 10_000, 4000), ("m", 1000, None, None, None), ("x", 1, 1, 1, 1)], "model string, input_tokens int, output_tokens int, cache_read_input_tokens int, cache_creation_input_tokens int")
+    p = spark.createDataFrame([("m", 2.0, 10.0)], "model string, input double, output double")
+    got = sorted((x.input_tokens, x.cents) for x in cost.usage_cents(u, p).collect() if x.model == "m")
+    assert [round(c, 9) for _, c in got] == sorted([round((1000 * 2 + 200 * 10 + 10_000 * 2 * 0.1 + 4000 * 2 * 1.25) / 1e4, 9), 0.2])
+    assert cost.usage_cents(u, p).where("model = 'x'").first().cents is None
+    assert "cents" in cost.usage_cents(u.select("model", "input_tokens"), p).columns
+
+
+def test_cost_reports(spark):
+    row = ("r", 3, 10, 1, 12_345, 1_240, 850, 11_000, 0.0812, 0.2, 0.2812, 1800.0, 0.5624)
+    e = spark.createDataFrame([(*row[:1], "big", *row[1:]), (*row[:1], "tiny", *row[1:10], 0.0519, 1800.0, 0.1038)], "run_id string, model string, calls int, images int, assumed_sizes int, image_tokens int, text_tokens int, cached_tokens int, output_tokens int, input_cost double, output_cost double, total_cost double, duration double, cost_per_hour double")
+    got = {x.model: x.report for x in cost.estimate_report(e, "2026-01-02").collect()}
+    assert got["big"] == (
+        "Estimated cost on big: $0.28 (3 model calls; 10 images \u2248 12k tokens, text \u2248 1.2k tokens, cached \u2248 850 tokens, output \u2248 11k tokens).\n"
+        "That is about $0.56 per hour of recording (this one is 30:00 long).\nEstimates are rough; the real usage is printed after the run. Prices checked on 2026-01-02."
+    )
+    assert cost.price_comparison(e, "2026-01-02").first().report.split("\n")[1:3] == ["  tiny    $0.052  ($0.10 per hour of recording)", "  big      $0.28  ($0.56 per hour of recording)"]
+
+
+def test_score_report(spark, t):
+    runs = spark.createDataFrame([("a",)], "run_id string")
+    key = spark.createDataFrame([("screens", 0, ["member search"], None), ("screens", 1, ["loan", "desk|counter"], None), ("screens", 2, ["nowhere", "at all"], None), ("questions", 0, ["fine"], None)], "category string, pos int, groups array<string>, screen_groups array<string>")
+    from tracewright.operators import lint
+
+    s = score.score(t, key, runs)
+    text = score.report(s, score.missed(t, key, runs), score.traceability(t, runs), lint.writing_summary(lint.lint(t["requirements"], t["criteria"]))).first().report.split("\n")
+    assert text[:2] == ["Category        Expected   Found  Recall  Extras", "screens                3       2    0.67       2"] and text[5] == "questions              1       1    1.00       1"
+    assert text[6:11] == ["Missed:", '  screens: ["nowhere", "at all"]', "Traceability:", "  requirements without source quote: 1", "  acceptance criteria with unknown requirement: 1"]
+    assert text[-1] == "Overall recall: 0.83" and text[-2].startswith("  rules seen: ")
+
+
 def test_cost(spark):
     m = spark.createDataFrame([("r", float(i), "x" * 9, 1280, 720, 400 if i == 0 else None, 100 if i == 0 else None, "abc" if i == 1 else None) for i in range(9)], "run_id string, start double, text string, width int, height int, crop_width int, crop_height int, ocr string")
     tr = spark.createDataFrame([("r", "t" * 150_001)], "run_id string, transcript string")
@@ -244,3 +303,43 @@ def test_cost(spark):
     assert (e.calls, e.images, e.image_tokens, e.text_tokens, e.cached_tokens, e.output_tokens) == (4, 10, image, text, 140, 11000)
     p = cost.priced(cost.tokens(m, tr, 100, 40), spark.createDataFrame([("s", 1.0, 5.0)], "model string, input double, output double"), spark.createDataFrame([("r", 1800.0)], "run_id string, duration double")).first()
     assert abs(p.total_cost - ((image + text) + 14 + 55000) / 1e6) < 1e-9 and abs(p.cost_per_hour - 2 * p.total_cost) < 1e-12
+
+
+def test_scenes(spark):
+    rows = [("r", float(t), h, sc) for t, h, sc in [(0, "00", None), (2, "ff", 0.01), (3, "ff", 0.3), (4, "0f", 0.4), (7, "0f", 0.2), (9, "00", 0.5)]]
+    rows += [("still", float(t), "00", None if t == 0 else 0.5 if t == 5 else 0.0) for t in range(25)]
+    df = spark.createDataFrame(rows, "run_id string, t double, hash string, score double").repartition(3)
+    got = group(keyframes.keep_scenes(df, distance=3).orderBy("run_id", "frame").collect())
+    assert [(x.t, x.frame) for x in got["r"]] == [(0.0, 0), (3.0, 1), (7.0, 2), (9.0, 3)] and [x.t for x in got["still"]] == [0.0, 5.0]
+    assert [x.t for x in group(keyframes.extract(df, detect="scene").collect())["still"]] == [0.0, 10.0, 20.0]
+    assert sorted(x.t for x in keyframes.sampled(df, 0.25).where("run_id = 'r'").collect()) == [0.0, 4.0, 9.0]
+    dark, light = np.zeros((4, 6, 3), np.uint8), np.full((4, 6, 3), 255, np.uint8)
+    pics = spark.createDataFrame([("r", i, x.tobytes(), 6, 4) for i, x in enumerate((dark, dark, light))], "run_id string, index int, pixels binary, width int, height int")
+    scores = [x.score for x in keyframes.brightness_change(pics).orderBy("index").collect()]
+    assert scores[0] is None and scores[1] == 0 and abs(scores[2] - 1) < 1e-3
+
+
+def test_restored_frames(spark):
+    from tracewright.operators import boxes
+
+    frames = spark.createDataFrame([("r", 0, b"x", 1), ("r", 1, b"y", 0)], "run_id string, index int, pixels binary, painted int")
+    old = spark.createDataFrame([("r", 0, b"o"), ("q", 1, b"z")], "run_id string, index int, pixels binary")
+    assert {x["index"]: (bytes(x.pixels), x.restored) for x in boxes.restore(frames, old).collect()} == {0: (b"o", True), 1: (b"y", False)}
+
+
+class Answerer:
+    def __call__(self, task, text, frames):
+        assert "Yes, by checksum" in text and "Q1" not in text
+        new = {"id": "N1", "statement": "The system must check card numbers", "rationale": None, "source_quote": "by checksum", "timestamp": 7.0, "keyframe_index": 0, "screen_id": "S99", "kind": "functional", "priority": "must", "confidence": "high"}
+        return {"requirements": [new], "updates": [{"id": "R1", "statement": "New words", "reason": "it is so"}], "questions": []}
+
+
+def test_resolve(spark, t, tmp_path):
+    from tracewright import api
+
+    out, done = api.resolve(t, Answerer(), str(tmp_path))
+    assert [tuple(x) for x in done.collect()] == [("a", "Q2")]
+    assert col(out["requirements"], "id", "screen_id")[-1] == ("R011", None)
+    assert col(out["requirements"], "statement", "rationale")[0] == ("New words", "Updated after the expert's answer: it is so")
+    again, still = api.resolve(out, Answerer(), str(tmp_path / "2"), done)
+    assert col(again["requirements"], "id") == col(out["requirements"], "id") and still.count() == 1

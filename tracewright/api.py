@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tracewright import schema
 from tracewright.operators import compare as comparing
-from tracewright.operators import feedback, merge as merging, personal, score as scoring
+from tracewright.operators import boxes, chunks, feedback, keyframes, merge as merging, personal, score as scoring
 from tracewright.operators.gaps import Tables
 from tracewright.plans.model import Caller, FakeCaller
-from tracewright.plans.session import Session, run as run_session
+from tracewright.plans.session import Session, plan, resolve as resolve_session, run as run_session, within_budget
 from tracewright.sinks import pages, tickets
 from tracewright.sources import documents, transcripts
+from tracewright.streaming import live
 
 #: Setting -> (type, default, least, choices).
 SETTINGS: dict[str, tuple[type, Any, float | None, tuple[str, ...] | None]] = {
@@ -52,15 +53,45 @@ def settings(path: str | None = None, **given: Any) -> dict[str, Any]:
     return out
 
 
-def run(spark: SparkSession, frames: DataFrame, transcript_path: str, run_id: str, out_dir: str, caller: Caller | None = None, **given: Any) -> Session:
-    """Frames ``(run_id, index, timestamp)`` and a transcript file to an analysis and its reports in ``out_dir``."""
+def key_frames(frames: DataFrame, options: dict[str, Any]) -> DataFrame:
+    """Key frames as they are; out of samples, those that the settings say."""
+    if "t" not in frames.columns:
+        return frames
+    kept = keyframes.extract(keyframes.sampled(frames, options["sample_fps"]), options["hash_distance"], options["min_gap"], most=options["max_frames"], detect=options["detect"])
+    return kept.select("run_id", F.col("frame").alias("index"), F.col("t").alias("timestamp"))
+
+
+def run(spark: SparkSession, frames: DataFrame, transcript_path: str, run_id: str, out_dir: str, caller: Caller | None = None, prices: DataFrame | None = None, **given: Any) -> Session:
+    """A transcript file and frames to an analysis and its reports in ``out_dir``. Frames are key frames ``(run_id, index,
+    timestamp)``, or samples ``(run_id, t, hash)``, with ``score`` for the scene detector, out of which key frames are
+    picked as the settings say. With ``max_cost``, ``prices`` are needed, and nothing is read that would cost more."""
     options = settings(given.pop("settings_file", None), **given)
     segments = transcripts.read(spark, transcript_path).withColumn("run_id", F.lit(run_id))
+    if options["max_cost"] is not None and prices is None:
+        raise ValueError("max_cost needs prices")
+    frames = key_frames(frames, options)
+    frames.write.mode("overwrite").parquet(f"{out_dir}/keyframes")  # picked once; the plans from here on read them often
+    frames = spark.read.parquet(f"{out_dir}/keyframes")
+    if options["max_cost"] is not None:
+        m, _ = plan(frames, segments, size=options["frames_per_call"])
+        none = lambda c, kind: F.lit(None).cast(kind).alias(c)
+        m = m.select("run_id", "start", chunks.spoken(F.col("segments")).alias("text"), *(none(c, "int") for c in ("width", "height", "crop_width", "crop_height")), none("ocr", "string"))
+        within_budget(m, chunks.transcript(segments), prices, options["max_cost"])
     made = run_session(frames, segments, caller or FakeCaller(), size=options["frames_per_call"], store=f"{out_dir}/readings")
     export(made.tables, run_id, out_dir, segments=segments)
     return made
 
 
+def rounds(arrivals: DataFrame, **given: Any) -> DataFrame:
+    """When a live recording is due to be read again, by the setting ``every_seconds``."""
+    return live.rounds(arrivals, settings(given.pop("settings_file", None), **given)["every_seconds"])
+
+
+def redact(frames: DataFrame, located: DataFrame, **given: Any) -> DataFrame:
+    """Frames with what was found painted over, in the style that the settings name."""
+    return boxes.redact(frames, located, settings(given.pop("settings_file", None), **given)["redact_style"])
+
+
 def export(t: Tables, run_id: str, out_dir: str, keyframes: DataFrame | None = None, **more: DataFrame) -> dict[str, Path]:
     own = pages.of_run(t, run_id)
     out = pages.export(own, run_id, out_dir, **more)
@@ -92,6 +123,11 @@ def answers(t: Tables, given: DataFrame) -> tuple[Tables, DataFrame]:
     return dict(t) | {"questions": q.drop("changed")}, feedback.unknown(t["questions"], given, ["id"])
 
 
+def resolve(t: Tables, caller: Caller, out_dir: str, done: DataFrame | None = None) -> tuple[Tables, DataFrame]:
+    """Answered questions worked in, each once: pass the ids that come back as ``done`` the next time."""
+    return resolve_session(t, caller, done, f"{out_dir}/resolved")
+
+
 def scrub(t: Tables, pairs: list[tuple[str, str]]) -> Tables:
     """Every text column of every table with raw values replaced by their masks, longest first."""
     if not pairs:

@@ -82,6 +82,20 @@ def mentions(term: Column, text: Column, plural: bool = True) -> Column:
     return F.coalesce(F.regexp_like(text, term_pattern(term, plural)), F.lit(False))
 
 
+def mention_key(term: Column) -> Column:
+    """What a text must hold among its ``mention_keys`` to mention the term: its first word. '' stands for any text, where
+    the term starts with no word."""
+    return F.regexp_extract(F.lower(F.trim(term)), WORD + r"^\w+(?=[\s-]|$)", 0)
+
+
+def mention_keys(text: Column) -> Column:
+    """The words of a text, also without a plural ending, and ''."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD + r"\w+"), F.lit(0))
+    bare = F.transform(F.filter(words, lambda w: w.endswith("s")), lambda w: F.left(w, F.length(w) - 1))
+    barer = F.transform(F.filter(words, lambda w: w.endswith("es")), lambda w: F.left(w, F.length(w) - 2))
+    return F.array_distinct(F.concat(words, bare, barer, F.array(F.lit(""))))
+
+
 def phrase_pattern(phrase: str) -> str:
     """For a phrase known when the plan is made: the engine compiles a literal pattern once."""
     import re
@@ -197,6 +211,11 @@ def image_tokens(width: Column, height: Column) -> Column:
     return F.greatest(F.lit(1), F.bround(width * height / 750)).cast("bigint")
 
 
+def storage_key(path: Column, prefix: str = "answers:") -> Column:
+    """What a report in that folder keeps its answers under in a browser: sixteen digits of the path's digest."""
+    return F.concat(F.lit(prefix), F.substring(F.sha2(path, 256), 1, 16))
+
+
 def fingerprint(*parts: Column) -> Column:
     """A key of contents: SHA-256 of the parts as JSON."""
     return F.sha2(F.to_json(F.struct(*parts)), 256)

@@ -224,6 +224,15 @@ def redact(frames: DataFrame, located: DataFrame, style: str = "box", pad: int =
     return joined.mapInPandas(run, schema)
 
 
+def restore(frames: DataFrame, originals: DataFrame) -> DataFrame:
+    """``frames`` with the untouched pixels of ``originals`` (``run_id, index, pixels``) where there are any, and
+    ``restored``, whether a frame has got them back."""
+    kept = originals.groupBy("run_id", "index").agg(F.any_value("pixels").alias("_original"))
+    joined = frames.join(kept, ["run_id", "index"], "left")
+    back = joined.withColumn("restored", F.col("_original").isNotNull()).withColumn("pixels", F.coalesce("_original", "pixels"))
+    return back.select(*frames.columns, "restored")
+
+
 def share_region(samples: Sequence[np.ndarray], change: int = 24, strip: float = 0.02, least: float = 0.25, most: float = 0.90, margin: float = 0.05) -> Box | None:
     """The part of a picture that changes over samples, if it looks like a shared window: rows and columns count where
     a share of the pixels moved; margins are cut only where wide, and only if two opposite ones are."""

@@ -1,7 +1,7 @@
 """Coverage checks: anti joins that say what an analysis does not cover yet.
 
 Each check takes the entity tables and gives ``run_id, kind, item_id, item_name, detail, timestamp, keyframe_index,
-severity``. All joins are on ``run_id``; mentions are looked for within a run only.
+severity``. All joins are on ``run_id``; mentions are looked for within a run only, by the first word of a term.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import mentions, natural_key
+from tracewright.functions.text import mention_key, mention_keys, mentions, natural_key
 
 # The kinds in their order, their plurals, the kinds of requirement that need no screen, and the verbs
 # that move to another screen.
@@ -43,20 +43,35 @@ def lookup_fallback(rows: DataFrame, names: DataFrame, key: str, id_col: str, na
     return joined
 
 
+def mentioned(terms: DataFrame, term: str, texts: DataFrame, text: str, by: tuple[str, ...] = ("run_id",), plural: Column | None = None) -> DataFrame:
+    """Rows of ``terms`` and ``texts`` (other names than those of ``by`` apart) of which the text mentions the term.
+
+    Terms meet texts by their first word: a text is joined with the first words of its run's terms, as one row, and then
+    only with the terms whose first word it holds. ``plural``: whether a plural counts."""
+    t = terms.withColumn("_key", mention_key(F.col(term)))
+    firsts = t.groupBy(*by).agg(F.collect_set("_key").alias("_firsts"))
+    x = texts.join(firsts, list(by)).withColumn("_hit", F.array_intersect(mention_keys(F.col(text)), F.col("_firsts")))
+    x = x.where(F.size("_hit") > 0).select(*texts.columns, F.explode("_hit").alias("_key"))
+    said = mentions(F.col(term), F.col(text))
+    if plural is not None:
+        said = F.when(plural, said).otherwise(mentions(F.col(term), F.col(text), plural=False))
+    return t.join(x, [*by, "_key"]).where(said).drop("_key")
+
+
 def covered_screens(t: Tables) -> DataFrame:
     """``run_id, id`` of screens that a requirement points at or names: the equality first, the costlier mention for
     what is left."""
     by_id = t["requirements"].where("screen_id <> ''").select("run_id", F.col("screen_id").alias("id")).distinct()
     left = t["screens"].select("run_id", "id", "name").join(by_id, ["run_id", "id"], "left_anti")
     said = t["requirements"].select("run_id", "statement").distinct()
-    named = left.join(said, "run_id").where(mentions(F.col("name"), F.col("statement"))).select("run_id", "id")
+    named = mentioned(left, "name", said, "statement").select("run_id", "id")
     return by_id.unionByName(named).distinct()
 
 
 def unmentioned(terms: DataFrame, term: str, texts: DataFrame, text: str, by: tuple[str, ...] = ("run_id",)) -> DataFrame:
     """Rows of ``terms`` that no text of their run mentions."""
     pattern = terms.select(*by, F.col(term).alias("_t")).distinct()
-    hit = pattern.join(texts.select(*by, F.col(text).alias("_x")).distinct(), list(by)).where(mentions(F.col("_t"), F.col("_x"))).select(*by, "_t").distinct()
+    hit = mentioned(pattern, "_t", texts.select(*by, F.col(text).alias("_x")).distinct(), "_x", by).select(*by, "_t").distinct()
     on = [terms[k] == hit[k] for k in by] + [terms[term] == hit["_t"]]
     return terms.join(hit, on, "left_anti")
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.functions.text import fold, mentions, singular
-from tracewright.operators.gaps import Tables, lookup_fallback
+from tracewright.operators.gaps import Tables, lookup_fallback, mentioned
 
 # The kinds in order, verbs and types of controls, status words, and limits of the comparison by letters.
 KINDS = ["role", "screen", "field", "action", "status value", "other"]
@@ -57,10 +57,9 @@ def corpus(t: Tables) -> DataFrame:
 
 def used_in(terms: DataFrame, texts: DataFrame) -> DataFrame:
     """``run_id, term, plural, used_in``: ids of the rows that mention each term, once each, in order."""
-    pairs = terms.select("run_id", "term", "plural").distinct().join(texts, "run_id")
-    hit = F.when(F.col("plural"), mentions(F.col("term"), F.col("text"))).otherwise(mentions(F.col("term"), F.col("text"), plural=False))
+    pairs = mentioned(terms.select("run_id", "term", "plural").distinct(), "term", texts, "text", plural=F.col("plural"))
     ids = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("part", "pos", "id"))), lambda x: x.id))
-    return pairs.where(hit).groupBy("run_id", "term", "plural").agg(ids.alias("used_in"))
+    return pairs.groupBy("run_id", "term", "plural").agg(ids.alias("used_in"))
 
 
 def screen_phrase(names: Column) -> Column:
@@ -88,7 +87,7 @@ def roles(t: Tables) -> DataFrame:
     r, c, q = t["requirements"], t["criteria"], t["questions"]
     own = ("run_id", "timestamp", "keyframe_index")
     texts = r.select(*own, F.col("statement").alias("text")).union(r.select(*own, "source_quote")).union(c.select(*own, "given")).union(c.select(*own, "when")).union(c.select(*own, "then")).union(q.select(*own, "question"))
-    named = actors.join(texts, "run_id").where(mentions(F.col("actor"), F.col("text"))).groupBy("run_id", "_key").agg(F.min(F.struct("timestamp", "keyframe_index")).alias("_named"))
+    named = mentioned(actors.select("run_id", "_key", "actor").withColumnRenamed("_key", "_of"), "actor", texts, "text").withColumnRenamed("_of", "_key").groupBy("run_id", "_key").agg(F.min(F.struct("timestamp", "keyframe_index")).alias("_named"))
     a = actors.join(steps, ["run_id", "_key"], "left").join(named, ["run_id", "_key"], "left").join(_first_frame(t), "run_id", "left")
     at = F.coalesce("_step.timestamp", "_named.timestamp", "_first.first_seen", F.lit(0.0))
     frame = F.coalesce("_step.keyframe_index", "_named.keyframe_index", "_first.kf", F.lit(0))
@@ -169,12 +168,43 @@ def how_they_differ(a: Column, b: Column, same_kind: Column) -> Column:
 DIFFER = {"capitals": "differ only in capital letters", "spacing": "differ only by a space or hyphen", "plural": "differ only by a plural ending", "letters": "are one or two letters apart"}
 
 
+def _thirds(word: Column, length: Column, shift: Column | None = None) -> Column:
+    """The thirds of a word of ``length`` letters, each named by that length and its number; with ``shift``, what stands
+    where the thirds would, so many letters on, and nothing where that is outside of the word."""
+
+    def third(i: Column) -> Column:
+        start, end = F.floor(length * i / 3).cast("int"), F.floor(length * (i + 1) / 3).cast("int")
+        at = start if shift is None else start + shift
+        inside = (at >= 0) & (at + end - start <= F.length(word))
+        return F.when(inside, F.concat_ws("/", length.cast("string"), i.cast("string"), F.substring(word, at + 1, end - start)))
+
+    return F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(2)), third))
+
+
+def likeness_keys(term: Column, kind: Column) -> tuple[Column, Column]:
+    """What a term is known by, and what it looks for: of terms that differ in little, each looks for something that the
+    other is known by. That is the folded singular; and, for the comparison by letters within a kind, a third of the
+    folded term: two edits leave one third of a word as it is, moved by two letters at most."""
+    f = fold(term)
+    n = F.length(f)
+    near = lambda keys: F.when(n >= LEAST_LETTERS, F.transform(keys, lambda k: F.concat(kind, F.lit("/"), k))).otherwise(F.array().cast("array<string>"))
+    moves = F.sequence(F.lit(-MOST_EDITS), F.lit(MOST_EDITS))
+    sought = F.flatten(F.transform(moves, lambda d: F.flatten(F.transform(moves, lambda s: _thirds(f, n + d, s)))))
+    same = F.array(F.concat(F.lit("="), singular(f)))
+    return F.concat(same, near(_thirds(f, n))), F.concat(same, near(F.array_distinct(sought)))
+
+
 def near_duplicates(entries: DataFrame) -> DataFrame:
     """Pairs of a run's terms (``a``, ``b`` by ``pos``) that differ in little, with ``reason``. Roles that only a
-    statement names have a check of their own."""
-    a, b = entries.alias("a"), entries.alias("b")
+    statement names have a check of their own. Terms meet by ``likeness_keys``; no two others are looked at."""
+    known, sought = likeness_keys(F.col("term"), F.col("kind"))
+    x = entries.select("run_id", "pos", F.explode(known).alias("key")).alias("x")
+    y = entries.select("run_id", "pos", F.explode(sought).alias("key")).alias("y")
+    met = x.join(y, (F.col("x.run_id") == F.col("y.run_id")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.pos") != F.col("y.pos")))
+    met = met.select(F.col("x.run_id").alias("_run"), F.least("x.pos", "y.pos").alias("_a"), F.greatest("x.pos", "y.pos").alias("_b")).distinct()
+    pairs = met.join(entries.alias("a"), (F.col("a.run_id") == F.col("_run")) & (F.col("a.pos") == F.col("_a")))
+    pairs = pairs.join(entries.alias("b"), (F.col("b.run_id") == F.col("_run")) & (F.col("b.pos") == F.col("_b")) & (F.col("a.term") != F.col("b.term"))).drop("_run", "_a", "_b")
     said = lambda e: (F.col(f"{e}.kind") == "role") & F.col(f"{e}.where").startswith("in requirement")
-    pairs = a.join(b, (F.col("a.run_id") == F.col("b.run_id")) & (F.col("a.pos") < F.col("b.pos")) & (F.col("a.term") != F.col("b.term")))
     pairs = pairs.where(~((F.col("a.kind") == "role") & (F.col("b.kind") == "role") & (said("a") | said("b"))))
     return pairs.withColumn("reason", how_they_differ(F.col("a.term"), F.col("b.term"), F.col("a.kind") == F.col("b.kind"))).where("reason is not null")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bits, seconds and counts of the detectors, and the grids of the frame hash.
-DISTANCE, SCENE_DISTANCE, MIN_GAP, MOST, FALLBACK, FEWEST_CHANGES = 8, 6, 1.5, 240, 10.0, 3
+DISTANCE, SCENE_DISTANCE, MIN_GAP, MOST, FALLBACK, FEWEST_CHANGES, SCENE_CHANGE = 8, 6, 1.5, 240, 10.0, 3, 0.05
 GRID, COLOUR_GRID, COLOUR_MARGIN, PIXEL_CHANGE, IGNORED = 24, 4, 8, 24, 0.002
 
 
@@ -83,8 +83,47 @@ def thin(frames: DataFrame, most: int = MOST) -> DataFrame:
     return base.groupBy("run_id").applyInPandas(lambda r: run(r), schema)
 
 
-def extract(samples: DataFrame, distance: int = DISTANCE, min_gap: float = MIN_GAP, fallback: float = FALLBACK, most: int = MOST) -> DataFrame:
-    return thin(keep_changed(samples, distance, min_gap, fallback), most)
+def keep_scenes(samples: DataFrame, threshold: float = SCENE_CHANGE, distance: int = SCENE_DISTANCE, min_gap: float = MIN_GAP, fallback: float | None = None) -> DataFrame:
+    """By brightness: of samples with ``score``, how much of the brightness has changed since the one before (null for the
+    first), those over ``threshold`` and the first of a run are scenes. Of three scenes or more, those too like or too
+    close to the last one kept go; fewer are all kept, or with ``fallback`` give way to a sample every so many seconds."""
+    w = Window.partitionBy("run_id").orderBy("t")
+    found = samples.withColumn("_first", F.row_number().over(w) == 1).withColumn("_scene", F.col("_first") | (F.col("score") > threshold))
+    found = found.withColumn("_n", F.sum(F.col("_scene").cast("int")).over(Window.partitionBy("run_id")))
+    cols = samples.columns
+    many = keep_changed(found.where("_scene").where(F.col("_n") >= FEWEST_CHANGES).select(*cols), distance, min_gap)
+    few = found.where(F.col("_n") < FEWEST_CHANGES)
+    if fallback is None:
+        few = few.where("_scene").withColumn("frame", (F.row_number().over(w) - 1).cast("int")).select(*cols, "frame")
+    else:
+        # No distance keeps all: each sample is due a gap after the last one that was.
+        few = keep_changed(few.select(*cols), -1, fallback)
+    return many.unionByName(few)
+
+
+def brightness_change(frames: DataFrame) -> DataFrame:
+    """``run_id, index, score`` of frames with pixels: the mean change of brightness since the frame before, from 0 to 1."""
+
+    def run(rows):
+        rows = rows.sort_values("index")
+        grey = [np.frombuffer(p, np.uint8).reshape(h, w, 3).astype(float) @ (0.299, 0.587, 0.114) for p, w, h in zip(rows["pixels"], rows["width"], rows["height"], strict=True)]
+        scores = [None, *(float(np.abs(b - a).mean() / 255) if a.shape == b.shape else 1.0 for a, b in zip(grey, grey[1:]))]
+        return rows[["run_id", "index"]].assign(score=scores[: len(rows)])
+
+    return frames.groupBy("run_id").applyInPandas(run, "run_id string, index int, score double")
+
+
+def sampled(samples: DataFrame, per_second: float) -> DataFrame:
+    """The first sample of each stretch of ``1 / per_second`` seconds."""
+    part = F.floor(F.col("t") * per_second + 1e-9)
+    first = F.row_number().over(Window.partitionBy("run_id", "_part").orderBy("t"))
+    return samples.withColumn("_part", part).withColumn("_n", first).where("_n = 1").drop("_part", "_n")
+
+
+def extract(samples: DataFrame, distance: int = DISTANCE, min_gap: float = MIN_GAP, fallback: float = FALLBACK, most: int = MOST, detect: str = "hash") -> DataFrame:
+    """Key frames by ``hash``, what the picture looks like, or by ``scene``, its brightness; at most ``most`` a run."""
+    kept = keep_scenes(samples, min_gap=min_gap, fallback=fallback) if detect == "scene" else keep_changed(samples, distance, min_gap, fallback)
+    return thin(kept, most)
 
 
 def boxed(a: np.ndarray, rows: int, cols: int) -> np.ndarray:

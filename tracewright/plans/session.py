@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import schema
-from tracewright.operators import align, chunks, cost, keyframes, merge
+from tracewright.operators import align, chunks, cost, feedback, keyframes, merge
 from tracewright.operators.gaps import Tables
 from tracewright.plans.model import Caller, read_in_halves
 
@@ -86,7 +86,8 @@ def plan(frames: DataFrame, segments: DataFrame, durations: DataFrame | None = N
 
 def run(frames: DataFrame, segments: DataFrame, caller: Caller, durations: DataFrame | None = None, ocr: DataFrame | None = None, prior: DataFrame | None = None, size: int = chunks.FRAMES_PER_CALL, store: str | None = None) -> Session:
     """Frames and speech to an analysis. With ``store`` the readings are written there before anything uses them, so
-    that the model is called once; without, they are checkpointed in the session's shared folder or cached."""
+    that the model is called once; without, they are checkpointed in the session's shared folder. One of the two has to
+    be there: a reading that is lost would be paid for again and might turn out otherwise."""
     m, asked = plan(frames, segments, durations, ocr, size)
     readings = read_chunks(asked, caller, prior)
     if store:
@@ -95,13 +96,13 @@ def run(frames: DataFrame, segments: DataFrame, caller: Caller, durations: DataF
     elif readings.sparkSession.conf.get("spark.checkpoint.dir", None):
         readings = readings.checkpoint()
     else:
-        readings = readings.cache()
+        raise ValueError("give a folder for the readings, or set spark.checkpoint.dir")
     return Session(m, asked, readings, consolidate(readings))
 
 
-def from_samples(samples: DataFrame, segments: DataFrame, caller: Caller, **options) -> Session:
-    """As ``run``, with key frames picked out of sampled frames first."""
-    kept = keyframes.extract(samples)
+def from_samples(samples: DataFrame, segments: DataFrame, caller: Caller, picking: dict | None = None, **options) -> Session:
+    """As ``run``, with key frames picked out of sampled frames first; ``picking`` is for ``keyframes.extract``."""
+    kept = keyframes.extract(samples, **(picking or {}))
     return run(kept.select("run_id", F.col("frame").alias("index"), F.col("t").alias("timestamp")), segments, caller, **options)
 
 
@@ -128,3 +129,37 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
     """``run_id, chunk, key, reading`` from answer files of the same layout; the reply may have text around its JSON."""
     rows = spark.read.schema("chunk int, key string, reply string, run_id string").json(path)
     return rows.select("run_id", "chunk", "key", F.regexp_extract("reply", r"(?s)(\{.*\})", 1).alias("reading")).where("reading <> ''")
+
+
+DELTA = "struct<requirements:array<struct<{requirements}>>,updates:array<struct<id:string,statement:string,reason:string>>,acceptance_criteria:array<struct<{acceptance_criteria}>>,questions:array<struct<{questions}>>>"
+
+
+def resolve(t: Tables, caller: Caller, done: DataFrame | None = None, store: str | None = None) -> tuple[Tables, DataFrame]:
+    """Answers worked in: one call for each run with answered questions that ``done`` (``run_id, id``) doesn't name, and
+    what it gives merged. Returns the tables and the ids that are done now. Runs without such questions stay as they
+    are and cost nothing. The replies are written to ``store``, or checkpointed, before anything uses them."""
+    asked = feedback.answered(t["questions"], done)
+
+    def call(rows):
+        import pandas as pd
+
+        rows = rows.sort_values("pos")
+        text = "\n\n".join(f"{q.id}: {q.question}\nAnswer: {q.answer}" for q in rows.itertuples())
+        reply = caller("Work the answers in.", text, [])
+        return pd.DataFrame({"run_id": rows["run_id"].iloc[:1], "reply": [json.dumps(reply)]})
+
+    replies = asked.select("run_id", "pos", "id", "question", "answer").groupBy("run_id").applyInPandas(call, "run_id string, reply string")
+    if store:
+        replies.write.mode("overwrite").parquet(store)
+        replies = replies.sparkSession.read.parquet(store)
+    elif replies.sparkSession.conf.get("spark.checkpoint.dir", None):
+        replies = replies.checkpoint()
+    else:
+        raise ValueError("give a folder for the replies, or set spark.checkpoint.dir")
+    parsed = replies.select("run_id", F.from_json("reply", DELTA.format(**schema.ENTITIES)).alias("r"))
+    rows = lambda name: parsed.select("run_id", F.posexplode(f"r.{name}").alias("pos", "x")).select("run_id", "pos", "x.*")
+    note = F.trim(F.concat(F.lit("Updated after the expert's answer: "), F.coalesce("reason", F.lit(""))))
+    updates = rows("updates").select("run_id", "id", "statement", note.alias("note"))
+    merged = feedback.merge_delta(t, rows("requirements"), updates, rows("acceptance_criteria"), rows("questions"))
+    now = asked.select("run_id", "id")
+    return merged, now if done is None else now.unionByName(done.select("run_id", "id"))

@@ -7,6 +7,7 @@ The decision to keep a frame is the same state machine as in batches (``operator
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 from tracewright.operators.keyframes import DISTANCE, MIN_GAP, Keeper
 
+#: Files that are processed at the same time; what they start shares the cluster.
+AT_A_TIME = 8
 STATE = "hash string, t double, changed int, kept int"
 KEPT = "run_id string, frame int, t double, hash string"
 
@@ -78,19 +81,22 @@ def run_live(frames: DataFrame, on_batch: Callable[[DataFrame, int], None], chec
 
 
 def watch(spark: SparkSession, root: str, checkpoint: str, process: Callable[[str, str], None], status: str):
-    """Files as they appear under a folder; each is processed on its own, and what came of it is a row in ``status``
-    (``path, modified, state, error``), failures included, so that one bad file doesn't stop the others."""
+    """Files as they appear under a folder; each is processed on its own, some at a time, and what came of it is a row in
+    ``status`` (``path, modified, state, error``), failures included, so that one bad file doesn't stop the others."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     files = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root).select("path", F.col("modificationTime").alias("modified"))
 
+    def one(r) -> tuple:
+        try:
+            process(r.path, str(r.modified))
+            return r.path, r.modified, "ok", None
+        except Exception as e:  # noqa: BLE001  recorded, not hidden
+            return r.path, r.modified, "error", str(e)
+
     def each(batch: DataFrame, number: int) -> None:
-        done = []
-        for r in batch.collect():  # a listing of new files
-            try:
-                process(r.path, str(r.modified))
-                done.append((r.path, r.modified, "ok", None))
-            except Exception as e:  # noqa: BLE001  recorded, not hidden
-                done.append((r.path, r.modified, "error", str(e)))
+        new = batch.collect()  # a listing of new files
+        with ThreadPoolExecutor(AT_A_TIME) as pool:
+            done = list(pool.map(one, new))
         if done:
             spark.createDataFrame(done, "path string, modified timestamp, state string, error string").write.mode("append").parquet(status)
 
