@@ -39,6 +39,12 @@ def around(boxes: Sequence[Box]) -> Box:
     return int(x), int(y), int((a[:, 0] + a[:, 2]).max() - x), int((a[:, 1] + a[:, 3]).max() - y)
 
 
+def union_columns() -> list[Column]:
+    """Aggregates of ``x, y, w, h``: the smallest box around the boxes of a group."""
+    x, y = F.min("x"), F.min("y")
+    return [x.alias("x"), y.alias("y"), (F.max(F.col("x") + F.col("w")) - x).alias("w"), (F.max(F.col("y") + F.col("h")) - y).alias("h")]
+
+
 def overlap(a: Box, b: Box) -> bool:
     return all(a[i] < b[i] + b[i + 2] and b[i] < a[i] + a[i + 2] for i in (0, 1))
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tracewright.functions import text as T
 from tracewright.operators import align, boxes, chunks, compare, cost, feedback, flow, gaps, glossary, keyframes, lint, merge, personal, score
+from tracewright.sinks import tickets
+from tracewright.streaming import live
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -127,7 +129,17 @@ def word_time_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("run_id", "pos", "word_pos", "word", F.round("word_start", 3).alias("word_start"), F.round("word_end", 3).alias("word_end"))
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT conv_id::VARCHAR AS run_id, turn AS pos, role, text AS whole, turn * 10.0::DOUBLE AS s, list_filter(regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' '), lambda x: x <> '') AS w FROM conversations),
+u AS (SELECT run_id, pos, role, whole, s, unnest(w) AS word, generate_subscripts(w, 1) AS i, list_sum([length(x) FOR x IN w]) AS total, len(w) AS n FROM t WHERE len(w) > 0),
+v AS (SELECT *, sum(length(word)) OVER (PARTITION BY run_id, pos ORDER BY i) AS upto FROM u),
+x AS (SELECT *, CASE WHEN i = n THEN s + 10 ELSE round_even(s + 10.0::DOUBLE * upto::DOUBLE / total::DOUBLE, 3) END AS e FROM v),
+y AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY run_id, pos ORDER BY i), s) AS b FROM x),
+p AS (SELECT run_id, pos, any_value(role) AS speaker, any_value(whole) AS whole, floor(b / 7)::INTEGER AS frame, min(i) AS lo, max(i) AS hi, min(n) AS n, arg_min(b, i) AS b, arg_max(e, i) AS e, min(s) AS s, string_agg(word, ' ' ORDER BY i) AS words FROM y GROUP BY run_id, pos, floor(b / 7)::INTEGER),
+q AS (SELECT *, count(*) OVER (PARTITION BY run_id, pos) AS pieces FROM p)
+SELECT run_id, frame, pos, (lo - 1)::INTEGER AS part, CASE WHEN lo > 1 THEN b ELSE s END AS "start", CASE WHEN hi < n THEN e ELSE s + 10 END AS "end", CASE WHEN pieces > 1 THEN words ELSE whole END AS text, speaker FROM q
+UNION ALL SELECT run_id, floor((s + 5) / 7)::INTEGER, pos, 0, s, s + 10, whole, role FROM t WHERE len(w) = 0
+""")
 def moments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments cut at the frames of a grid of seven seconds; compared with brute force in the tests."""
     seg = turns_as_segments(spark, sf_dir)
@@ -138,16 +150,21 @@ def moments_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 WITH e AS (SELECT user_id, event_id, ts, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-SELECT user_id, event_id, event_type, p AS previous FROM e WHERE p IS NULL OR p <> event_type
+SELECT user_id, event_id, CASE WHEN p IS NULL OR p <> event_type THEN event_type || ': ' ELSE '' END || event_id AS line FROM e
 """)
 def change_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events that differ from the one before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, sf_dir, "events").withColumn("previous", F.lag("event_type").over(w))
-    return e.where("previous is null or previous <> event_type").select("user_id", "event_id", "event_type", "previous")
+    """Events with their type where it is another than before."""
+    e = table(spark, sf_dir, "events").withColumn("text", F.col("event_id").cast("string"))
+    return chunks.speaker_changes(e, ["user_id"], ["ts", "event_id"], "event_type").select("user_id", "event_id", "line")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, {SECONDS} AS t, ('0x' || substr(md5(event_type), 1, 16))::UBIGINT AS h, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+f AS (SELECT user_id, event_id, t, n, true AS kept, h AS last_h, t AS last_t, 0 AS frame FROM e WHERE n = 1
+  UNION ALL SELECT e.user_id, e.event_id, e.t, e.n, k, CASE WHEN k THEN h ELSE last_h END, CASE WHEN k THEN e.t ELSE last_t END, CASE WHEN k THEN frame + 1 ELSE frame END
+  FROM (SELECT e.*, f.last_h, f.last_t, f.frame, bit_count(xor(e.h, f.last_h)::BIT) > 8 AND e.t - f.last_t >= 21600 AS k FROM f JOIN e ON e.user_id = f.user_id AND e.n = f.n + 1) e)
+SELECT user_id::VARCHAR AS run_id, frame, event_id, t FROM f WHERE kept
+""")
 def keyframes_last_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as samples: kept are those of another type than the last one kept, at least six hours after it."""
     hash_ = F.substring(F.md5("event_type"), 1, 16)
@@ -161,7 +178,17 @@ def sign_bits(start: int) -> F.Column:
     return F.aggregate(signs, F.lit(0).cast("bigint"), lambda a, b: F.shiftleft(a, 1) + b)
 
 
-@query()
+@query("""
+WITH RECURSIVE h AS (SELECT vec_id, label,
+  list_reduce([CASE WHEN embedding[i] > 0 THEN (1::BIGINT << (32 - i)) ELSE 0::BIGINT END FOR i IN range(1, 33)], lambda a, b: a + b) AS x,
+  list_reduce([CASE WHEN embedding[i + 32] > 0 THEN (1::BIGINT << (32 - i)) ELSE 0::BIGINT END FOR i IN range(1, 33)], lambda a, b: a + b) AS y FROM embeddings),
+s AS (SELECT label, list({'v': vec_id, 'x': x, 'y': y} ORDER BY vec_id) AS l FROM h GROUP BY 1
+  UNION ALL SELECT label, list_concat(l[1:k - 1], l[k + 1:]) FROM (
+    SELECT label, l, list_position(d, list_min(d)) AS k FROM (
+      SELECT label, l, [CASE WHEN i = 1 THEN 1000 ELSE bit_count(xor(l[i].x, l[i - 1].x)) + bit_count(xor(l[i].y, l[i - 1].y)) END FOR i IN range(1, len(l) + 1)] AS d FROM s WHERE len(l) > 20))),
+e AS (SELECT label, l FROM s WHERE len(l) <= 20)
+SELECT label::VARCHAR AS run_id, (generate_subscripts(l, 1) - 1)::INTEGER AS frame, unnest(l).v AS vec_id FROM e
+""")
 def thin_least_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of a label as frames with the hash of all their signs: the twenty that differ most from frame to frame."""
     v = table(spark, sf_dir, "embeddings")
@@ -272,12 +299,6 @@ def renumber_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.join(m, "c_custkey").select("o_orderkey", "nation", "customer")
 
 
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
-def missing_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
-    return o.join(li.select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti").select("o_orderkey", "o_orderpriority")
-
-
 @query(r"""
 WITH r AS (SELECT user_id, event_id, event_type FROM events)
 SELECT n_nationkey, n_name FROM nation n WHERE n_nationkey NOT IN (SELECT DISTINCT c_nationkey FROM customer WHERE c_acctbal > 9900)
@@ -299,16 +320,90 @@ def lookup_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gaps.lookup_fallback(c, n, "c_nationkey", "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
 
 
-@query("""
-SELECT o_orderkey, coalesce(string_agg(l_linenumber::VARCHAR || ' ' || l_returnflag || l_linestatus, '; ' ORDER BY l_linenumber, l_returnflag, l_linestatus), 'none yet') AS lines
-FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+def star(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The trade tables as analyses, one a region: nations are screens, suppliers fields, actions and steps, customers
+    requirements and questions, orders criteria."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("run_id"), F.col("n_nationkey").cast("int").alias("k"), F.col("n_name").alias("name"))
+    own = n.withColumnRenamed("name", "n_name").withColumn("screen", F.concat(F.lit("S"), F.col("k").cast("string")))
+    s = table(spark, sf_dir, "supplier").join(own, F.col("s_nationkey") == F.col("k")).withColumn("i", F.col("s_suppkey").cast("int"))
+    c = table(spark, sf_dir, "customer").join(own, F.col("c_nationkey") == F.col("k")).withColumn("i", F.col("c_custkey").cast("int"))
+    o = table(spark, sf_dir, "orders").join(c.select("run_id", F.col("c_custkey").alias("o_custkey")), "o_custkey")
+    named = lambda letter, col="i": F.concat(F.lit(letter), F.col(col).cast("string"))
+    none = F.lit(None).cast("string")
+    at = [F.col("i").cast("double").alias("timestamp"), (F.col("i") % 10 - 1).alias("keyframe_index")]
+    said = F.concat("c_mktsegment", F.lit(" orders go to supplier "), (F.col("i") % 50).cast("string"), F.when(F.col("i") % 7 == 0, F.concat(F.lit(" in "), "n_name")).otherwise(""))
+    done = F.when(F.col("i") % 3 == 0, "Opens the list").when(F.col("i") % 3 == 1, 'Clicks the "Go" button').otherwise("Reads the notes")
+    return {
+        "screens": n.select("run_id", F.col("k").alias("pos"), named("S", "k").alias("id"), "name", F.array("k").alias("keyframe_indexes"), F.col("k").cast("double").alias("first_seen"), F.when(F.col("k") % 5 == 0, F.array(F.lit("F"))).otherwise(F.array().cast("array<string>")).alias("field_ids")),
+        "fields": s.where("s_acctbal >= 5000").select("run_id", F.col("i").alias("pos"), named("F").alias("id"), F.col("screen").alias("screen_id"), F.concat(F.lit("Supplier "), F.col("i").cast("string")).alias("label"), *at),
+        "actions": s.select("run_id", F.col("i").alias("pos"), named("A").alias("id"), F.col("screen").alias("screen_id"), done.alias("description"), F.when(F.col("i") % 2 == 1, "S1").alias("leads_to_screen_id"), *at),
+        "journey": s.select("run_id", F.col("i").alias("pos"), F.col("i").alias("order"), F.col("screen").alias("screen_id"), F.lit("Goes on").alias("description"), none.alias("actor"), *at),
+        "requirements": c.select("run_id", F.col("i").alias("pos"), named("R").alias("id"), said.alias("statement"), none.alias("rationale"), F.when(F.col("i") % 11 != 0, F.col("c_name")).otherwise(" ").alias("source_quote"), F.when((F.col("i") % 3 != 0) & (F.col("k") % 4 != 0), F.col("screen")).alias("screen_id"), F.when(F.col("c_mktsegment") == "BUILDING", "workflow").otherwise("functional").alias("kind"), F.when(F.col("c_acctbal") < 0, "low").otherwise("high").alias("confidence"), *at),
+        "criteria": o.where("o_orderpriority = '1-URGENT'").select("run_id", F.col("o_orderkey").cast("int").alias("pos"), named("C", "o_orderkey").alias("id"), F.when(F.col("o_orderkey") % 13 == 0, "R-1").otherwise(named("R", "o_custkey")).alias("requirement_id"), F.lit("an order").alias("given"), F.col("o_orderkey").cast("string").alias("when"), F.col("o_orderstatus").alias("then"), F.lit(0.0).alias("timestamp"), F.lit(0).alias("keyframe_index")),
+        "questions": c.select("run_id", F.col("i").alias("pos"), named("Q").alias("id"), F.lit("Why?").alias("question"), none.alias("why_it_matters"), none.alias("context_quote"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("screen")).alias("screen_id"), *at),
+        "actors": c.select("run_id", F.col("c_mktsegment").alias("actor")).unionByName(n.select("run_id", F.lit("Auditor").alias("actor"))).distinct().withColumn("pos", F.lit(0)),
+    }
+
+
+STAR = r"""
+n AS (SELECT n_regionkey::VARCHAR AS run_id, n_nationkey AS k, n_name FROM nation),
+sup AS (SELECT run_id, k, s_suppkey AS i, s_acctbal AS bal FROM supplier JOIN n ON s_nationkey = k),
+req AS (SELECT run_id, k, c_custkey AS i, c_mktsegment AS seg, c_acctbal AS bal, c_mktsegment || ' orders go to supplier ' || (c_custkey % 50) || CASE WHEN c_custkey % 7 = 0 THEN ' in ' || n_name ELSE '' END AS statement,
+  CASE WHEN c_custkey % 3 <> 0 AND k % 4 <> 0 THEN k END AS screen FROM customer JOIN n ON c_nationkey = k),
+crit AS (SELECT run_id, o_orderkey AS i, CASE WHEN o_orderkey % 13 = 0 THEN -1 ELSE o_custkey END AS r, o_orderstatus FROM orders JOIN req ON req.i = o_custkey WHERE o_orderpriority = '1-URGENT'),
+covered AS (SELECT run_id, screen AS k FROM req WHERE screen IS NOT NULL UNION SELECT n.run_id, n.k FROM n JOIN req ON req.run_id = n.run_id AND regexp_matches(statement, '(?i)(^|[^\w-])' || n_name || '(s|es)?($|[^\w-])'))
+"""
+
+
+@query(rf"""
+WITH {STAR}, g AS (
+  SELECT run_id, 0 AS r, 'S' AS l, k AS i, 'warn' AS severity FROM n WHERE (run_id, k) NOT IN (SELECT run_id, k FROM covered)
+  UNION ALL SELECT run_id, 1, 'S', k, 'warn' FROM n WHERE k % 5 <> 0 AND k NOT IN (SELECT k FROM sup WHERE bal >= 5000)
+  UNION ALL SELECT run_id, 2, 'F', i, 'warn' FROM sup WHERE bal >= 5000 AND NOT EXISTS (SELECT 1 FROM req WHERE req.run_id = sup.run_id AND regexp_matches(statement, '(?i)(^|[^\w-])supplier ' || sup.i || '(s|es)?($|[^\w-])'))
+  UNION ALL SELECT run_id, 3, 'R', i, 'warn' FROM req WHERE i NOT IN (SELECT r FROM crit)
+  UNION ALL SELECT run_id, 4, 'R', i, CASE WHEN seg = 'BUILDING' THEN 'info' ELSE 'warn' END FROM req WHERE screen IS NULL
+  UNION ALL SELECT run_id, 5, 'A', i, 'warn' FROM sup WHERE i % 2 = 0 AND i % 3 < 2
+  UNION ALL SELECT run_id, 6, 'J', i, 'warn' FROM sup WHERE (run_id, k) NOT IN (SELECT run_id, k FROM covered)
+  UNION ALL SELECT run_id, 7, 'R', i, 'info' FROM req WHERE bal < 0
+  UNION ALL SELECT run_id, 8, 'Q', i, 'info' FROM req WHERE seg = 'MACHINERY'
+  UNION ALL SELECT DISTINCT run_id, 9, 'Auditor', NULL, 'info' FROM n)
+SELECT run_id, severity, list_extract([{", ".join(f"'{k}'" for k, _ in gaps.KINDS)}], r + 1) AS kind, CASE WHEN r = 9 THEN l ELSE l || i END AS item_id,
+  (row_number() OVER (PARTITION BY run_id ORDER BY severity <> 'warn', r, i) - 1)::INTEGER AS pos FROM g
+""")
+def gaps_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ten checks, in their order."""
+    return gaps.find_gaps(star(spark, sf_dir)).select("run_id", "severity", "kind", "item_id", F.col("pos").cast("int").alias("pos"))
+
+
+@query("SELECT run_id, severity, kind, count(*) AS n FROM (" + ORACLE["gaps_found"] + ") GROUP BY ALL")
+def gap_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gaps.count_by_kind(gaps.find_gaps(star(spark, sf_dir)))
+
+
+@query(f"""
+WITH {STAR}, runs AS (SELECT DISTINCT run_id FROM n),
+f AS (SELECT run_id, k AS kf FROM n UNION ALL SELECT run_id, i % 10 - 1 FROM sup WHERE bal >= 5000 UNION ALL SELECT run_id, i % 10 - 1 FROM sup UNION ALL SELECT run_id, i % 10 - 1 FROM sup UNION ALL SELECT run_id, i % 10 - 1 FROM req UNION ALL SELECT run_id, 0 FROM crit UNION ALL SELECT run_id, i % 10 - 1 FROM req)
+SELECT run_id, (SELECT count(*) FROM req WHERE req.run_id = runs.run_id AND i % 11 = 0) AS requirements_without_source_quote,
+  (SELECT count(*) FROM crit WHERE crit.run_id = runs.run_id AND r = -1) AS criteria_with_unknown_requirement, (SELECT count(*) FROM f WHERE f.run_id = runs.run_id AND kf < 0) AS negative_keyframe_indexes FROM runs
+""")
+def traceability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = star(spark, sf_dir)
+    return score.traceability(t, t["screens"].select("run_id").distinct())
+
+
+@query(f"""
+WITH {STAR} SELECT run_id, 'R' || r AS id, string_agg(i || ' ' || o_orderstatus, '; ' ORDER BY i) AS lines FROM crit GROUP BY 1, 2
 """)
 def nest_children_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Children as text, in their order, under each parent."""
-    item = F.struct("l_linenumber", "l_returnflag", "l_linestatus")
-    per = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list(item)).alias("x"))
-    lines = F.array_join(F.transform("x", lambda i: F.concat(i.l_linenumber.cast("string"), F.lit(" "), i.l_returnflag, i.l_linestatus)), "; ")
-    return table(spark, sf_dir, "orders").select("o_orderkey").join(per, "o_orderkey", "left").select("o_orderkey", F.coalesce(lines, F.lit("none yet")).alias("lines"))
+    """Criteria as text, in their order, under each requirement."""
+    c = tickets.criteria_by_requirement(star(spark, sf_dir))
+    return c.select("run_id", "id", F.array_join(F.transform("criteria", lambda x: F.concat(x["when"], F.lit(" "), x["then"])), "; ").alias("lines"))
+
+
+@query(f"WITH {STAR} SELECT run_id, 'R' || i AS item_id FROM req WHERE i NOT IN (SELECT r FROM crit)")
+def missing_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without orders, as requirements without criteria."""
+    return gaps.requirements_without_criteria(star(spark, sf_dir)).select("run_id", "item_id")
 
 
 @query("""
@@ -349,23 +444,6 @@ def natural_sort_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.join(start, "g").select("name", place.cast("int").alias("place"))
 
 
-@query("""
-WITH g AS (
-  SELECT 'screen without fields' AS kind, 'warn' AS severity, 1 FROM nation WHERE n_nationkey NOT IN (SELECT s_nationkey FROM supplier)
-  UNION ALL SELECT 'requirement without criteria', 'warn', 1 FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)
-  UNION ALL SELECT 'low-confidence requirement', 'info', 1 FROM orders WHERE o_orderpriority LIKE '5%')
-SELECT 'r' AS run_id, severity, kind, count(*) AS n FROM g GROUP BY 2, 3
-""")
-def gap_summary_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), "o_orderpriority")
-    have = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"))
-    nations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"))
-    row = lambda df, i, s: df.select(F.lit("r").alias("run_id"), F.lit(gaps.KINDS[i][0]).alias("kind"), F.lit(s).alias("severity"))
-    found = row(nations.join(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("id")), "id", "left_anti"), 1, "warn")
-    found = found.unionByName(row(orders.join(have, "id", "left_anti"), 3, "warn")).unionByName(row(orders.where("o_orderpriority like '5%'"), 7, "info"))
-    return gaps.count_by_kind(found)
-
-
 TERMS = ["license", "version", "trash", "the", "General Public License", "work"]
 
 
@@ -392,18 +470,16 @@ def near_duplicate_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH k AS (SELECT p_name AS t, p_partkey % 2 AS side, row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS n, p_partkey AS id FROM part)
-SELECT a.id AS id_a, b.id AS id_b, CASE WHEN a.id IS NULL THEN 'added' WHEN b.id IS NULL THEN 'removed' ELSE 'same' END AS change
-FROM (SELECT * FROM k WHERE side = 0) a FULL JOIN (SELECT * FROM k WHERE side = 1) b ON a.t = b.t AND a.n = b.n
+WITH k AS (SELECT p_name AS t, CASE WHEN p_partkey % 2 = 0 THEN 'a' ELSE 'b' END AS side, p_partkey AS id, row_number() OVER (PARTITION BY p_name, p_partkey % 2 ORDER BY p_partkey) AS n FROM part),
+c AS (SELECT t, least(count(*) FILTER (side = 'a'), count(*) FILTER (side = 'b')) AS twins FROM k GROUP BY 1)
+SELECT side, id FROM k JOIN c USING (t) WHERE n > twins
 """)
 def exact_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two halves of a table as multisets: the n-th of a text on one side is the n-th on the other."""
+    """Two halves of a table as multisets: what has no equal on the other side."""
     p = table(spark, sf_dir, "part")
-    nth = F.row_number().over(Window.partitionBy("t", "side").orderBy("id"))
-    k = p.select(T.norm(F.col("p_name")).alias("t"), (F.col("p_partkey") % 2).alias("side"), F.col("p_partkey").alias("id")).withColumn("n", nth)
-    a, b = k.where("side = 0").select("t", "n", F.col("id").alias("id_a")), k.where("side = 1").select("t", "n", F.col("id").alias("id_b"))
-    change = F.when(F.col("id_a").isNull(), "added").when(F.col("id_b").isNull(), "removed").otherwise("same")
-    return a.join(b, ["t", "n"], "full").select("id_a", "id_b", change.alias("change"))
+    side = F.when(F.col("p_partkey") % 2 == 0, "a").otherwise("b")
+    rows = p.select(F.lit("p").alias("pair_id"), F.lit("field").alias("kind"), side.alias("side"), F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.col("p_name").alias("text"))
+    return compare.unmatched(rows).select("side", "id")
 
 
 @query()
@@ -428,7 +504,15 @@ def cnf_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(hit).alias("category"))
 
 
-@query()
+@query(f"""
+WITH s(pos, groups) AS (VALUES {", ".join(f"({i}, {g!r})" for i, g in enumerate(GROUPS))}),
+c AS (SELECT source AS run_id, pos, doc_id FROM documents, s WHERE list_bool_and([list_bool_or([contains(lower(text), lower(trim(a))) FOR a IN string_split(g, '|')]) FOR g IN groups])),
+a AS (SELECT run_id, min(doc_id) FILTER (pos = 0) AS t0 FROM c GROUP BY 1),
+b AS (SELECT a.run_id, any_value(t0) AS t0, min(doc_id) FILTER (pos = 1 AND doc_id IS DISTINCT FROM t0) AS t1 FROM a JOIN c USING (run_id) GROUP BY 1),
+d AS (SELECT b.run_id, any_value(t0) AS t0, any_value(t1) AS t1, min(doc_id) FILTER (pos = 2 AND doc_id IS DISTINCT FROM t0 AND doc_id IS DISTINCT FROM t1) AS t2 FROM b JOIN c USING (run_id) GROUP BY 1),
+e AS (SELECT d.run_id, any_value(t0) AS t0, any_value(t1) AS t1, any_value(t2) AS t2, min(doc_id) FILTER (pos = 3 AND doc_id IS DISTINCT FROM t0 AND doc_id IS DISTINCT FROM t1 AND doc_id IS DISTINCT FROM t2) AS t3 FROM d JOIN c USING (run_id) GROUP BY 1)
+SELECT run_id, ((t0 IS NOT NULL)::INTEGER + (t1 IS NOT NULL)::INTEGER + (t2 IS NOT NULL)::INTEGER + (t3 IS NOT NULL)::INTEGER) / 4.0::DOUBLE AS recall FROM e
+""")
 def greedy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of each source against an answer key: recall one to one."""
     d = table(spark, sf_dir, "documents")
@@ -437,11 +521,27 @@ def greedy_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score.assigned(score.candidates(items, spec)).groupBy("run_id").agg((F.count("*") / F.lit(len(GROUPS))).alias("recall"))
 
 
-@query("SELECT lang, count(*) AS n, sum(quality)::BIGINT AS good, round(avg(quality), 9) AS share, round(coalesce(avg(toxic) FILTER (quality = 1), 0), 9) AS toxic_share FROM labels JOIN documents USING (doc_id) GROUP BY 1")
-def label_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    j = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
-    toxic = F.coalesce(F.avg(F.when(F.col("quality") == 1, F.col("toxic"))), F.lit(0.0))
-    return j.groupBy("lang").agg(F.count("*").alias("n"), F.sum("quality").cast("bigint").alias("good"), F.round(F.avg("quality"), 9).alias("share"), F.round(toxic, 9).alias("toxic_share"))
+KEY = [("screens", 0, ["germany|france"]), ("screens", 1, ["iran"]), ("requirements", 0, ["building", "supplier 7"]), ("requirements", 1, ["machinery", "supplier 1"]), ("actions", 0, ["notes"]), ("questions", 0, ["nothing"])]
+
+
+@query(f"""
+WITH {STAR}, runs AS (SELECT DISTINCT run_id FROM n), items AS (
+  SELECT run_id, 'screens' AS category, lower(n_name) AS t FROM n UNION ALL SELECT run_id, 'fields', '' FROM sup WHERE bal >= 5000
+  UNION ALL SELECT run_id, 'actions', CASE WHEN i % 3 = 2 THEN 'notes' ELSE '' END FROM sup UNION ALL SELECT run_id, 'requirements', lower(statement) FROM req UNION ALL SELECT run_id, 'questions', 'why?' FROM req),
+hit AS (SELECT run_id, (count(*) FILTER (category = 'screens' AND (contains(t, 'germany') OR contains(t, 'france'))) > 0)::INTEGER + (count(*) FILTER (category = 'screens' AND contains(t, 'iran')) > 0)::INTEGER AS screens,
+  (count(*) FILTER (category = 'requirements' AND contains(t, 'building') AND contains(t, 'supplier 7')) > 0)::INTEGER + (count(*) FILTER (category = 'requirements' AND contains(t, 'machinery') AND contains(t, 'supplier 1')) > 0)::INTEGER AS requirements,
+  (count(*) FILTER (category = 'actions' AND t = 'notes') > 0)::INTEGER AS actions FROM items GROUP BY 1),
+c(category, expected) AS (VALUES ('screens', 2), ('fields', 0), ('actions', 1), ('requirements', 2), ('questions', 1)),
+x AS (SELECT runs.run_id, c.category, expected, CASE c.category WHEN 'screens' THEN screens WHEN 'requirements' THEN requirements WHEN 'actions' THEN actions ELSE 0 END AS found,
+  (SELECT count(*) FROM items WHERE items.run_id = runs.run_id AND items.category = c.category) AS have FROM runs CROSS JOIN c JOIN hit USING (run_id))
+SELECT run_id, category, expected::BIGINT AS expected, found::BIGINT AS found, CASE WHEN expected > 0 THEN found / expected::DOUBLE ELSE 0 END AS recall, have - found AS extras FROM x
+""")
+def scores_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions against an answer key of which no two expectations want the same item."""
+    t = star(spark, sf_dir)
+    key = spark.createDataFrame([(*k, None) for k in KEY], "category string, pos int, groups array<string>, screen_groups array<string>")
+    out = score.score(t, key, t["screens"].select("run_id").distinct())
+    return out.select("run_id", "category", *(F.col(c).cast("bigint").alias(c) for c in ("expected", "found")), "recall", F.col("extras").cast("bigint").alias("extras"))
 
 
 @query(r"""
@@ -453,7 +553,13 @@ def pii_email(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.scan(d, keep=("doc_id",)).where("kind = 'email'").select("doc_id", "value_masked")
 
 
-@query()
+@query(r"""
+WITH t AS (SELECT doc_id, regexp_replace(text, '([^0-9-])', '\1\1', 'g') AS x FROM documents),
+m AS (SELECT DISTINCT doc_id, replace(c, '  ', ' ') AS c FROM (SELECT doc_id, unnest(regexp_extract_all(x, '(?:^|[^0-9-])([0-9]{13,19}|[0-9]{3,6}(?:(?:  |-)[0-9]{3,6}){2,5})(?:$|[^0-9-])', 1)) AS c FROM t)),
+d AS (SELECT doc_id, c, regexp_replace(c, '[^0-9]', '', 'g') AS n FROM m),
+ok AS (SELECT doc_id, c, length(n) AS k FROM d WHERE length(n) BETWEEN 13 AND 19 AND list_sum([CASE WHEN (length(n) - i) % 2 = 0 THEN substr(n, i, 1)::INTEGER ELSE (2 * substr(n, i, 1)::INTEGER) // 10 + (2 * substr(n, i, 1)::INTEGER) % 10 END FOR i IN range(1, length(n) + 1)]) % 10 = 0)
+SELECT DISTINCT doc_id, list_aggregate([CASE WHEN substr(c, i, 1) IN (' ', '-') THEN substr(c, i, 1) WHEN length(regexp_replace(substr(c, 1, i), '[^0-9]', '', 'g')) <= 2 OR length(regexp_replace(substr(c, 1, i), '[^0-9]', '', 'g')) > k - 2 THEN substr(c, i, 1) ELSE '*' END FOR i IN range(1, length(c) + 1)], 'string_agg', '') AS value_masked FROM ok
+""")
 def pii_card_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Card numbers of all documents, masked."""
     d = table(spark, sf_dir, "documents").where(F.col("text").rlike("[0-9]{3}"))
@@ -499,13 +605,17 @@ def lint_absolutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.explode(lint.phrases_found(F.col("text"), lint.ABSOLUTES, F.col("h"))).alias("word"))
 
 
-@query(r"""
-SELECT doc_id, regexp_extract(text, '(?i)\b(is|are|be|been|being|was|were)\s+((not|also|only|then|[\w]+ly)\s+)?([A-Za-z]+(ed|en))\b') AS first_form
-FROM documents WHERE lang = 'en' AND regexp_matches(text, '(?i)\b(is|are|be|been|being|was|were)\s+((not|also|only|then|[\w]+ly)\s+)?([A-Za-z]+(ed|en))\b')
+PASSIVE_SQL = r"(?i)(?:^|[^\w\pL\pN])((?:is|are|be|been|being|was|were)[\s\x{a0}]+(?:(?:not|also|only|then|[\w\pL\pN]+ly)[\s\x{a0}]+)?([A-Za-z]+(?:ed|en)))(?:$|[^\w\pL\pN])"
+
+
+@query(rf"""
+WITH m AS (SELECT doc_id, list_filter(regexp_extract_all(text, '{PASSIVE_SQL}', 1), lambda x: length(regexp_extract(x, '([A-Za-z]+)$', 1)) >= 4 AND NOT list_contains([{", ".join(f"'{w}'" for w in sorted(lint.NOT_PARTICIPLES))}], lower(regexp_extract(x, '([A-Za-z]+)$', 1)))) AS f FROM documents)
+SELECT doc_id, f[1] AS form FROM m WHERE len(f) > 0
 """)
 def lint_passive_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").withColumn("first_form", F.regexp_extract("text", lint.PASSIVE.replace("(?iU)", "(?i)"), 0))
-    return d.where("first_form <> ''").select("doc_id", "first_form")
+    """The first passive form of each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.explode(lint.passive(F.col("text"))).alias("f"))
+    return d.select("doc_id", F.regexp_extract("f.message", r'(?s)^"(.*)" is passive', 1).alias("form"))
 
 
 @query()
@@ -578,14 +688,16 @@ def fingerprint_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH e AS (SELECT user_id, event_id, floor({SECONDS} / 86400) AS b, lag(floor({SECONDS} / 86400)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events)
-SELECT user_id, event_id, b::BIGINT AS boundary FROM e WHERE p IS NOT NULL AND b > p
+WITH e AS (SELECT user_id::VARCHAR AS run_id, {SECONDS} AS t, floor({SECONDS} / 86400)::BIGINT AS b, lag(floor({SECONDS} / 86400)::BIGINT, 1, 0) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events),
+due AS (SELECT run_id, unnest(generate_series(p + 1, b)) AS b, t FROM e WHERE b > p),
+ends AS (SELECT run_id, max(t) AS t FROM e GROUP BY 1), every AS (
+  SELECT * FROM due UNION ALL SELECT run_id, NULL, t FROM ends WHERE t > coalesce((SELECT max(t) FROM due WHERE due.run_id = ends.run_id), -1))
+SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY b IS NULL, b)::INTEGER AS round, t AS at FROM every
 """)
 def event_time_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events with which a run's time crosses a multiple of a day: an analysis would be due."""
-    e = table(spark, sf_dir, "events").withColumn("boundary", F.floor(seconds(F.col("ts")) / 86400))
-    p = F.lag("boundary").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return e.withColumn("p", p).where("p is not null and boundary > p").select("user_id", "event_id", F.col("boundary").cast("bigint").alias("boundary"))
+    """When a run would be read again: as its time crosses a day, and at its end."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").cast("string").alias("run_id"), seconds(F.col("ts")).alias("t"))
+    return live.rounds(e, 86400.0).select("run_id", F.col("round").cast("int").alias("round"), "at")
 
 
 @query("""
@@ -597,14 +709,6 @@ def document_cube(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select(F.coalesce("lang", F.lit("(all)")).alias("lang"), F.coalesce("source", F.lit("(all)")).alias("source"), "n", "chars")
 
 
-@query("""
-SELECT role, count(*) FILTER (quote = '') AS without_quote, count(*) FILTER (negative) AS negative FROM (SELECT role, trim(text) AS quote, turn < 1 AS negative FROM conversations) GROUP BY 1
-""")
-def traceability_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.groupBy("role").agg(F.count(F.when(F.trim("text") == "", 1)).alias("without_quote"), F.count(F.when(F.col("turn") < 1, 1)).alias("negative"))
-
-
 @query("""
 WITH b AS (SELECT vec_id, (vec_id * 7 % 90)::INTEGER AS x, (vec_id * 13 % 80)::INTEGER AS y FROM embeddings)
 SELECT vec_id, CASE WHEN (x + 5.0) * 3 >= 100 AND (x + 5.0) * 3 < 200 AND (y + 5.0) * 3 >= 100 AND (y + 5.0) * 3 < 200 THEN 'centre'
@@ -620,8 +724,7 @@ def region_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 def box_unions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("vec_id")
     b = table(spark, sf_dir, "embeddings").select("label", (v * 7 % 1000).alias("x"), (v * 13 % 800).alias("y"), (v % 50).alias("w"), (v % 20).alias("h"))
-    right, bottom = F.max(F.col("x") + F.col("w")), F.max(F.col("y") + F.col("h"))
-    return b.groupBy("label").agg(F.min("x").alias("x"), F.min("y").alias("y"), (right - F.min("x")).alias("w"), (bottom - F.min("y")).alias("h"))
+    return b.groupBy("label").agg(*boxes.union_columns())
 
 
 @query()
