@@ -69,4 +69,6 @@ def test_pivots_are_far_apart():
     g = np.random.default_rng(6)
     x = rangejoin.unit(np.repeat(g.normal(size=(30, 16)), 50, axis=0) + g.normal(size=(1500, 16)) * 0.05)
     p = rangejoin.choose_pivots(x, 10**6, 0.447)
+    noise = rangejoin.unit(g.normal(size=(3000, 64)))
+    assert len(rangejoin.choose_pivots(noise, 10**6, 0.447)) == rangejoin.PIVOTS[0]
     assert len(p) == 30 and (np.linalg.norm(p[:, None] - p[None], axis=2) + np.eye(30) > 0.447).all()

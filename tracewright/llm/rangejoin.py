@@ -21,10 +21,11 @@ from tracewright.llm.vectors import distances, matrix, raw_vectors, spread, unit
 
 #: Vectors that pivots are chosen from; they are sent to the driver.
 SAMPLE = 16_384
-#: Vectors of a cell, about, and the least and the most pivots. More pivots make cells smaller and copies more.
-CELL, PIVOTS = 2048, (8, 4096)
+#: Vectors of a cell, about, and the least and the most pivots. More pivots make cells smaller and copies more: fewer than
+#: one for every ``CELL`` are taken where a vector of the sample would have over ``COPIES`` copies on average.
+CELL, PIVOTS, COPIES = 2048, (8, 4096), 4.0
 #: Vectors on either side of one comparison at most, about; larger cells are split.
-CHUNK = 2048
+CHUNK = 8192
 #: Rows that are compared at once.
 BLOCK = 128
 _SLACK = 1e-6
@@ -40,8 +41,18 @@ def _copies(d: np.ndarray, home: np.ndarray, between: np.ndarray, reach: np.ndar
 
 def choose_pivots(sample: np.ndarray, n: int, r: float) -> np.ndarray:
     """Farthest first: each pivot is the vector of the sample that is farthest from those before, until there is one for
-    every ``CELL`` of the ``n`` vectors, or none is farther than ``r``."""
-    return spread(sample, min(max(PIVOTS[0], -(-n // CELL)), PIVOTS[1]), r)
+    every ``CELL`` of the ``n`` vectors, or none is farther than ``r``; the first half of them, again and again, while
+    that many would give a vector over ``COPIES`` copies."""
+    p = spread(sample, min(max(PIVOTS[0], -(-n // CELL)), PIVOTS[1]), r)
+    some = sample[:: max(1, len(sample) // 2048)]
+    while len(p) > PIVOTS[0]:
+        d = distances(some, p)
+        home = d.argmin(axis=1)
+        reach = np.array([d[home == j, j].max(initial=0.0) for j in range(len(p))])
+        if _copies(d, home, distances(p, p), reach, r).sum() <= COPIES * len(some):
+            break
+        p = p[: max(PIVOTS[0], len(p) // 2)]
+    return p
 
 
 def join_cells(df: DataFrame, id_col: str, vec_col: str, cosine: float) -> tuple[DataFrame, DataFrame, DataFrame]:
