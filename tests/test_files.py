@@ -116,3 +116,15 @@ def test_pages(spark, t, tmp_path):
     other = dict(t) | {"screens": t["screens"].withColumn("name", F.when(F.col("id") == "S03", "Fine list").otherwise(F.col("name")))}
     text = pages.comparison(compare.compare(compare.items(t, "a").unionByName(compare.items(other, "b"))))
     assert "- screen: S03 Fines -> S03 Fine list" in text
+
+
+def test_wiki_targets_and_html_comparison(spark):
+    from tracewright.sinks import pages
+
+    sheets = [("A & B", ["x"], [["<1>"]]), ("None", ["y"], [])]
+    one, two = (pages.wiki_page("T & t", sheets, x) for x in ("confluence", "sharepoint"))
+    assert 'xmlns="http://www.w3.org/1999/xhtml"' in one and "xmlns" not in two and "<title>T &amp; t</title>" in two and "&lt;1&gt;" in one
+    rows = [("p", "field", "changed", "F1", "a<b", "frame 1 @ 00:01", "F2", "a>b", None, 0), ("p", "screen", "added", None, None, None, "S1", "New", None, 1)]
+    df = spark.createDataFrame(rows, "pair_id string, kind string, change string, id_a string, text_a string, frame_a string, id_b string, text_b string, frame_b string, pos int")
+    page = pages.comparison_html(df, "x", "y")
+    assert "a&lt;b" in page and "&rarr;" in page and "Nothing was removed." in page and '<span class="id">S1</span> New' in page and "frame 1 @ 00:01" in page

@@ -135,3 +135,12 @@ def test_progress_is_windowed(spark, tmp_path):
     q = live.progress(s).writeStream.outputMode("complete").format("memory").queryName("progress").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(x.n for x in spark.sql("select * from progress").collect()) == [1, 2]
+
+
+def test_shifted_chunks(spark):
+    from tracewright.streaming import live
+
+    seg = spark.createDataFrame([("r", 0, 1.0, 2.0, [(1.0, 1.5, "a")]), ("r", 1, 0.5, 3.0, []), ("r", 9, 0.5, 1.0, None)], "run_id string, chunk int, start double, `end` double, words array<struct<start:double,`end`:double,text:string>>")
+    chunks = spark.createDataFrame([("r", 0, 0.0), ("r", 1, 30.0)], "run_id string, chunk int, start double")
+    got = {x.chunk: x for x in live.shifted(seg, chunks).collect()}
+    assert (got[1].start, got[1].end) == (30.5, 33.0) and got[0].words[0].end == 1.5 and got[9].start == 0.5 and got[9].words is None

@@ -343,3 +343,24 @@ def test_resolve(spark, t, tmp_path):
     assert col(out["requirements"], "statement", "rationale")[0] == ("New words", "Updated after the expert's answer: it is so")
     again, still = api.resolve(out, Answerer(), str(tmp_path / "2"), done)
     assert col(again["requirements"], "id") == col(out["requirements"], "id") and still.count() == 1
+
+
+def test_merge_report(spark, merged):
+    m, runs = merged
+    before = schema.entities(fixtures.analysis(spark, "a").unionByName(fixtures.analysis(spark, "b")))
+    lines = merge.report(before, m, runs).split("\n")
+    assert lines[0] == "Merged 2 runs." and lines[1].startswith("  a: 4 screens, 5 fields, 5 actions, 4 journey steps, 3 requirements,")
+    assert "  screens: 8 came in, 4 kept (4 folded into an earlier one)" in lines and "  actions: 10 came in, 10 kept" in lines
+
+
+def test_close_ups(spark):
+    img = np.zeros((200, 400, 3), np.uint8)
+    img[50:80, 100:140] = 200
+    change = "change_from_previous struct<x:int,y:int,w:int,h:int,fraction:double>"
+    rows = [("r", 0, img.tobytes(), 400, 200, None), ("r", 1, img.tobytes(), 400, 200, (100, 50, 40, 30, 0.01)), ("r", 2, img.tobytes(), 400, 200, (0, 0, 400, 190, 0.9)), ("r", 3, img.tobytes(), 400, 200, (0, 0, 40, 30, 0.0001))]
+    df = spark.createDataFrame(rows, f"run_id string, index int, pixels binary, width int, height int, {change}")
+    got = {x["index"]: x for x in keyframes.close_ups(df, pad=10).collect()}
+    assert list(got) == [1] and (got[1].crop_width, got[1].crop_height) == (640, round(50 * 640 / 60))
+    part = np.frombuffer(got[1].crop, np.uint8).reshape(got[1].crop_height, 640, 3)
+    assert part[0, 0].max() == 0 and part[260, 300].min() == 200
+    assert keyframes.close_ups(df, least=10, most=30).first().crop_width == 30

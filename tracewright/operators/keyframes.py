@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracewright.functions.text import crop_wanted
+
 # Bits, seconds and counts of the detectors, and the grids of the frame hash.
 DISTANCE, SCENE_DISTANCE, MIN_GAP, MOST, FALLBACK, FEWEST_CHANGES, SCENE_CHANGE = 8, 6, 1.5, 240, 10.0, 3, 0.05
 GRID, COLOUR_GRID, COLOUR_MARGIN, PIXEL_CHANGE, IGNORED = 24, 4, 8, 24, 0.002
@@ -200,6 +202,36 @@ def annotate(frames: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, schema)
 
 
+def enlarged(pixels: np.ndarray, width: int) -> np.ndarray:
+    """A picture scaled to a width, by the nearest pixels."""
+    h, w = pixels.shape[:2]
+    height = max(1, round(h * width / w))
+    return pixels[np.arange(height) * h // height][:, np.arange(width) * w // width]
+
+
+def close_ups(annotated: DataFrame, pad: int = 24, least: int = 640, most: int = 1600) -> DataFrame:
+    """``run_id, index, crop_width, crop_height, crop``: what changed, with a margin, of frames where that is real but
+    well less than the whole, scaled up to ``least`` wide, and never wider than ``most``."""
+    c = F.col("change_from_previous")
+    wanted = annotated.where(c.isNotNull() & crop_wanted(c.w, c.h, c.fraction, F.col("width"), F.col("height")))
+    rows = wanted.select("run_id", "index", "pixels", "width", "height", c.x.alias("x"), c.y.alias("y"), c.w.alias("w"), c.h.alias("h"))
+
+    def run(batches: Iterable):
+        import pandas as pd
+
+        for b in batches:
+            out = []
+            for r in b.itertuples():
+                img = np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width, 3)
+                part = img[max(0, r.y - pad) : r.y + r.h + pad, max(0, r.x - pad) : r.x + r.w + pad]
+                width = min(max(part.shape[1], least), most)
+                part = part if width == part.shape[1] else enlarged(part, width)
+                out.append((r.run_id, b.loc[r.Index, "index"], part.shape[1], part.shape[0], part.tobytes()))
+            yield pd.DataFrame(out, columns=["run_id", "index", "crop_width", "crop_height", "crop"])
+
+    return rows.mapInPandas(run, "run_id string, index int, crop_width int, crop_height int, crop binary")
+
+
 def screenshot_times(files: DataFrame, step: float = 10.0) -> DataFrame:
     """``files`` (``run_id, name``) with ``timestamp``: seconds or a date-time in the name (from the earliest one on);
     the others follow the last timed one in natural order, ``step`` seconds apart."""

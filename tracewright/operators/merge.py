@@ -197,3 +197,26 @@ def merge_recordings(r: dict[str, DataFrame], runs: DataFrame, merged: str = "me
         out[name] = df.withColumn("pos", F.row_number().over(order) - 1).withColumn("run_id", F.lit(merged)).select(rows.columns)
     out["runs"] = runs.agg(F.lit(merged).alias("run_id"), F.sum("duration").alias("duration"))
     return out
+
+
+#: What a merge is counted by, and what that is called.
+COUNTED = [("screens", "screens"), ("fields", "fields"), ("actions", "actions"), ("journey", "journey steps"), ("requirements", "requirements"), ("criteria", "acceptance criteria"), ("questions", "questions")]
+
+
+def report(before: Tables, after: Tables, runs: DataFrame) -> str:
+    """What each run (``run_id, position``) brought in and what is left after duplicates were folded, in lines of text."""
+    counts = None
+    for part, t in (("in", before), ("kept", after)):
+        for name, label in COUNTED:
+            rows = t[name].groupBy("run_id").agg(F.count("*").alias("n")).select(F.lit(part).alias("part"), "run_id", F.lit(label).alias("label"), "n")
+            counts = rows if counts is None else counts.unionByName(rows)
+    n = {(x.part, x.run_id, x.label): x.n for x in counts.collect()}  # some numbers a run
+    names = [x.run_id for x in runs.orderBy("position").select("run_id").collect()]
+    lines = [f"Merged {len(names)} runs."]
+    lines += [f"  {r}: " + ", ".join(f"{n.get(('in', r, label), 0)} {label}" for _, label in COUNTED) for r in names]
+    lines.append("After merging duplicates:")
+    for _, label in COUNTED:
+        came, kept = (sum(v for (p, _, x), v in n.items() if p == part and x == label) for part in ("in", "kept"))
+        folded = f" ({came - kept} folded into an earlier one)" if came > kept else ""
+        lines.append(f"  {label}: {came} came in, {kept} kept{folded}")
+    return "\n".join(lines)

@@ -733,3 +733,80 @@ def rows_of_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("run_id"), F.col("turn").cast("int").alias("index"), F.posexplode(F.split(F.trim("text"), r"\s+")).alias("i", "text"))
     lines = words.select("run_id", "index", "text", (F.col("i") % 6 * 90).alias("x"), (F.floor(F.col("i") / 6) * 20 + F.col("i") % 3).cast("int").alias("y"), (F.length("text") * 7).alias("w"), F.lit(12).alias("h"), F.lit(0.9).alias("confidence"))
     return boxes.merge_rows(lines)
+
+
+@query("""
+SELECT o_orderkey, (floor(o_totalprice)::BIGINT % 5000 + 0.1::DOUBLE * (o_custkey % 900) + 1.25::DOUBLE * CASE WHEN o_orderstatus = 'F' THEN 100 ELSE 0 END) * p.i / 1e6 * 100 + (o_custkey % 77) * p.o / 1e6 * 100 AS cents
+FROM (SELECT *, substr(o_orderpriority, 1, 1) AS model FROM orders) LEFT JOIN (VALUES ('1', 1.0::DOUBLE, 5.0::DOUBLE), ('2', 2.0, 10.0), ('3', 5.0, 25.0)) p(model, i, o) USING (model)
+""")
+def usage_cents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls cost, orders taken as calls: input, text from the cache and text written to it; null without a price."""
+    o = table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.substring("o_orderpriority", 1, 1).alias("model"), (F.floor("o_totalprice") % 5000).alias("input_tokens"), (F.col("o_custkey") % 77).alias("output_tokens"),
+        (F.col("o_custkey") % 900).alias("cache_read_input_tokens"), F.when(F.col("o_orderstatus") == "F", 100).alias("cache_creation_input_tokens"),
+    )
+    prices = spark.createDataFrame([(str(i + 1), *p[1:]) for i, p in enumerate(PRICES)], "model string, input double, output double")
+    return cost.usage_cents(o, prices).select("o_orderkey", "cents")
+
+
+SEEN = {"view": "email", "click": "person name", "purchase": "uk postcode"}
+
+
+@query("""
+WITH f AS (SELECT user_id::VARCHAR AS run_id, event_type, CASE WHEN event_id % 3 > 0 THEN event_id % 5 END AS frame FROM events WHERE event_type IN ('view', 'click', 'purchase')),
+c AS (SELECT run_id, count(*) FILTER (event_type = 'view') AS e, count(*) FILTER (event_type = 'purchase') AS p, count(*) FILTER (event_type = 'click') AS n, count(DISTINCT frame) AS f FROM f GROUP BY 1),
+r AS (SELECT DISTINCT c_custkey::VARCHAR AS run_id FROM customer)
+SELECT r.run_id, CASE WHEN c.run_id IS NULL THEN 'No personal data patterns found.' ELSE 'Personal data seen: ' || array_to_string(list_filter([
+  CASE WHEN e > 0 THEN e || CASE WHEN e = 1 THEN ' email' ELSE ' emails' END END, CASE WHEN p > 0 THEN p || CASE WHEN p = 1 THEN ' postcode' ELSE ' postcodes' END END, CASE WHEN n > 0 THEN n || CASE WHEN n = 1 THEN ' name' ELSE ' names' END END], lambda x: x IS NOT NULL), ', ')
+  || CASE WHEN f = 0 THEN '' WHEN f = 1 THEN ' on 1 frame' ELSE ' on ' || f || ' frames' END || '. Check before sharing.' END AS summary FROM r LEFT JOIN c USING (run_id)
+""")
+def personal_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events taken as hits of three kinds, a sentence for each customer, with or without any."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin(*SEEN))
+    kind = F.create_map(*(F.lit(x) for k in SEEN.items() for x in k))[F.col("event_type")]
+    found = e.select(F.col("user_id").cast("string").alias("run_id"), kind.alias("kind"), F.when(F.col("event_id") % 3 > 0, F.col("event_id") % 5).alias("keyframe_index"))
+    runs = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("run_id"))
+    return personal.summary(found, runs)
+
+
+@query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE (event_id % 86400)::DOUBLE + CASE WHEN event_id % 4 = 1 THEN 0.25 ELSE 0 END END AS seconds FROM events")
+def parsed_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers written as clock times, with a comma for the fraction, as ISO durations, and as something else."""
+    i = F.col("event_id") % 86400
+    h, m, s = F.floor(i / 3600).cast("int"), F.floor(i % 3600 / 60).cast("int"), (i % 60).cast("int")
+    said = F.when(F.col("event_id") % 4 == 0, F.format_string("[%02d:%02d:%02d]", h, m, s)).when(F.col("event_id") % 4 == 1, F.format_string(" %d:%02d:%02d,250 ", h, m, s))
+    said = said.when(F.col("event_id") % 4 == 2, F.format_string("PT%dH%dM%dS", h, m, s)).otherwise(F.format_string("at %d", s))
+    return table(spark, sf_dir, "events").select("event_id", T.parse_time(said).alias("seconds"))
+
+
+@query("SELECT page_id, array_to_string(regexp_extract_all(lower(url), '[a-z0-9]+'), '-') AS slug, 'answers:' || substr(sha256(url), 1, 16) AS key FROM pages")
+def slugs_and_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", T.slug(F.col("url")).alias("slug"), T.storage_key(F.col("url")).alias("key"))
+
+
+@query("SELECT vec_id, (vec_id % 100) / 5000.0 >= 0.002 AND (vec_id * 7 % 90) * (vec_id * 13 % 80) / 10000.0 < 0.35 AS wanted FROM embeddings")
+def close_ups_wanted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, hundred = F.col("vec_id"), F.lit(100)
+    return table(spark, sf_dir, "embeddings").select("vec_id", T.crop_wanted(v * 7 % 90, v * 13 % 80, v % 100 / 5000.0, hundred, hundred).alias("wanted"))
+
+
+@query(rf"""
+WITH {STAR}, terms AS (SELECT DISTINCT run_id, 'Supplier ' || i AS term FROM sup WHERE bal >= 5000 UNION SELECT run_id, n_name FROM n)
+SELECT terms.run_id, term, list('R' || i ORDER BY i) AS used_in FROM terms JOIN req ON req.run_id = terms.run_id AND regexp_matches(statement, '(?i)(^|[^\w-])' || term || '(s|es)?($|[^\w-])') GROUP BY 1, 2
+""")
+def used_in(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requirements that use the names of fields and screens."""
+    t = star(spark, sf_dir)
+    terms = t["fields"].select("run_id", F.col("label").alias("term")).unionByName(t["screens"].select("run_id", F.col("name").alias("term"))).withColumn("plural", F.lit(True))
+    texts = t["requirements"].select("run_id", F.lit(0).alias("part"), "pos", "id", F.col("statement").alias("text"))
+    return glossary.used_in(terms, texts).select("run_id", "term", "used_in")
+
+
+PAIRS = [("the", "t**"), ("the work", "t** w***"), ("der", "d**"), ("", "x")]
+
+
+@query("SELECT doc_id, md5(replace(replace(replace(text, 'the work', 't** w***'), 'the', 't**'), 'der', 'd**')) AS scrubbed FROM documents")
+def scrubbed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw values in texts replaced by their masks, the longest first."""
+    pairs = F.array(*(F.struct(F.lit(r).alias("raw"), F.lit(m).alias("masked")) for r, m in PAIRS))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(personal.scrub(F.col("text"), pairs)).alias("scrubbed"))

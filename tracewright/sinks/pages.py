@@ -98,6 +98,13 @@ def wiki(pages: list[Sheet]) -> str:
     return "".join(f"<h2>{escape(n)}</h2>" + (_table(h, r) if r else "<p>None.</p>") for n, h, r in pages)
 
 
+def wiki_page(title: str, pages: list[Sheet], target: str = "confluence") -> str:
+    """The wiki body as a document to import: for one wiki XHTML with its namespace, for the other (``sharepoint``) plain."""
+    namespace = {"confluence": ' xmlns="http://www.w3.org/1999/xhtml"', "sharepoint": ""}[target]
+    head = f'<meta charset="utf-8" />\n<title>{escape(title)}</title>'
+    return f'<?xml version="1.0" encoding="UTF-8"?>\n<!DOCTYPE html>\n<html{namespace} lang="en">\n<head>\n{head}\n</head>\n<body>\n<h1>{escape(title)}</h1>\n{wiki(pages)}</body>\n</html>\n'
+
+
 def html_page(title: str, pages: list[Sheet], flow_svg: str = "") -> str:
     """One file, with a box that filters the rows of all tables."""
     script = "document.getElementById('q').oninput=e=>{for(const r of document.querySelectorAll('tr:not(:first-child)'))r.hidden=!r.textContent.toLowerCase().includes(e.target.value.toLowerCase())}"
@@ -157,6 +164,24 @@ def comparison(changes: DataFrame, before: str = "before", after: str = "after")
     return "\n".join(lines)
 
 
+def comparison_html(changes: DataFrame, before: str = "before", after: str = "after") -> str:
+    """The comparison as one page: what was removed, added and reworded, by kind."""
+    rows = changes.orderBy("kind", "pos").collect()
+    parts = [f"<!doctype html><meta charset='utf-8'><title>{escape(before)} and {escape(after)}</title><h1>{escape(before)} and {escape(after)}</h1>"]
+    for change, said, none in (("removed", f"Only in {before}", "Nothing was removed."), ("added", f"Only in {after}", "Nothing was added."), ("changed", "Changed", "Nothing changed.")):
+        mine = [r for r in rows if r.change == change]
+        parts.append(f"<section><h2>{escape(said)}</h2>" + ("" if mine else f'<p class="muted">{none}</p>'))
+        for kind in dict.fromkeys(r.kind for r in mine):
+            parts.append(f"<h3>{escape(kind)}</h3><ul>")
+            for r in (r for r in mine if r.kind == kind):
+                sides = [(i, x, f) for i, x, f in ((r.id_a, r.text_a, r.frame_a), (r.id_b, r.text_b, r.frame_b)) if i is not None]
+                text = " &rarr; ".join(f'<span class="id">{escape(i)}</span> {escape(x or "")}' + (f' <span class="when">{escape(f)}</span>' if f else "") for i, x, f in sides)
+                parts.append(f"<li>{text}</li>")
+            parts.append("</ul>")
+        parts.append("</section>")
+    return "".join(parts)
+
+
 def glossary_markdown(entries: DataFrame) -> str:
     cell = lambda c: table_cell(c.cast("string"))
     rows = entries.orderBy("pos").select(cell(F.col("term")), "kind", cell(F.col("where")), mmss(F.col("first_seen")), F.array_join("used_in", ", ")).collect()

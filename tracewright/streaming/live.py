@@ -51,6 +51,17 @@ def progress(events: DataFrame, watermark: str = "10 minutes", window: str = "5
     return events.withWatermark("ts", watermark).groupBy(F.window("ts", window), "run_id").agg(F.count("*").alias("n"), F.max("ts").alias("latest"))
 
 
+def shifted(segments: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Segments of audio chunks, whose times count from the chunk's own start, in the time of the recording. ``chunks`` are
+    ``(run_id, chunk, start)``; a segment of an unknown chunk stays as it is."""
+    by = chunks.select("run_id", "chunk", F.col("start").alias("_by"))
+    rows = segments.join(by, ["run_id", "chunk"], "left").withColumn("_by", F.coalesce("_by", F.lit(0.0)))
+    out = rows.withColumns({c: F.col(c) + F.col("_by") for c in ("start", "end")})
+    if "words" in segments.columns:
+        out = out.withColumn("words", F.transform("words", lambda w: w.withField("start", w["start"] + F.col("_by")).withField("end", w["end"] + F.col("_by"))))
+    return out.select(*segments.columns)
+
+
 def rounds(events: DataFrame, every: float = 300.0) -> DataFrame:
     """``run_id, round, at``: an analysis is due each time the recording time of a run crosses a multiple of ``every``
     seconds, and once more at its end. Events are ``(run_id, t)``, frames at their time and speech at its end."""
