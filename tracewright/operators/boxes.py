@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.operators import personal
+from tracewright.operators.folds import fold_groups
 
 Box = tuple[int, int, int, int]
 
@@ -34,9 +36,8 @@ class Line:
 
 
 def around(boxes: Sequence[Box]) -> Box:
-    a = np.array(boxes)
-    x, y = a[:, 0].min(), a[:, 1].min()
-    return int(x), int(y), int((a[:, 0] + a[:, 2]).max() - x), int((a[:, 1] + a[:, 3]).max() - y)
+    x, y = min(b[0] for b in boxes), min(b[1] for b in boxes)
+    return x, y, max(b[0] + b[2] for b in boxes) - x, max(b[1] + b[3] for b in boxes) - y
 
 
 def union_columns() -> list[Column]:
@@ -72,7 +73,7 @@ def merged(lines: Sequence[Line], gap: str = "  ") -> list[Line]:
     """A line for each row."""
     out = []
     for r in rows(lines):
-        out.append(Line(gap.join(l.text for l in r), *around([l.box for l in r]), float(np.mean([l.confidence for l in r]))))
+        out.append(Line(gap.join(l.text for l in r), *around([l.box for l in r]), sum(l.confidence for l in r) / len(r)))
     return sorted(out, key=lambda l: (l.y, l.x))
 
 
@@ -146,11 +147,13 @@ def _lines(df: pd.DataFrame) -> list[Line]:
 
 
 def merge_rows(lines: DataFrame) -> DataFrame:
-    def run(df: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame([vars(l) for l in merged(_lines(df))])
-        return out.assign(run_id=df["run_id"].iloc[0], index=df["index"].iloc[0])[["run_id", "index", "text", "x", "y", "w", "h", "confidence"]]
+    """A line for each row of a frame."""
+    schema = T.StructType.fromDDL("run_id string, index int, text string, x int, y int, w int, h int, confidence double")
 
-    return lines.groupBy("run_id", "index").applyInPandas(run, "run_id string, index int, text string, x int, y int, w int, h int, confidence double")
+    def fold(rows: list[tuple]) -> list[tuple]:
+        return [(*rows[0][:2], l.text, *l.box, l.confidence) for l in merged([Line(*r[2:]) for r in rows])]
+
+    return fold_groups(lines.select(*(F.col(f.name).cast(f.dataType) for f in schema)), ["run_id", "index"], ["y", "x"], fold, schema)
 
 
 def scan_lines(lines: DataFrame) -> DataFrame:

@@ -11,8 +11,10 @@ from collections.abc import Iterable, Sequence
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewright.functions.text import crop_wanted
+from tracewright.operators.folds import fold_groups
 
 # Bits, seconds and counts of the detectors, and the grids of the frame hash.
 DISTANCE, SCENE_DISTANCE, MIN_GAP, MOST, FALLBACK, FEWEST_CHANGES, SCENE_CHANGE = 8, 6, 1.5, 240, 10.0, 3, 0.05
@@ -39,22 +41,20 @@ class Keeper:
 def keep_changed(samples: DataFrame, distance: int = DISTANCE, min_gap: float = MIN_GAP, fallback: float | None = None) -> DataFrame:
     """The samples kept, with ``frame``, their number in the run. With ``fallback``, a run whose samples changed fewer
     than three times gets one sample every so many seconds instead."""
-    cols = samples.columns
+    at, of = samples.columns.index("t"), samples.columns.index("hash")
 
-    def run(rows):
-        rows = rows.sort_values("t", kind="stable")
+    def fold(rows: list[tuple]) -> Iterable[tuple]:
         keeper = Keeper(distance, min_gap)
-        mask = [keeper.take(t, h) for t, h in zip(rows["t"], rows["hash"], strict=True)]
+        kept = [r for r in rows if keeper.take(r[at], r[of])]
         if fallback and keeper.changed < FEWEST_CHANGES:
-            due, mask = -np.inf, []
-            for t in rows["t"]:
-                mask.append(t >= due)
-                due = t + fallback if t >= due else due
-        out = rows[np.array(mask, dtype=bool)]
-        return out.assign(frame=range(len(out)))[[*cols, "frame"]]
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in samples.schema) + ", frame int"
-    return samples.groupBy("run_id").applyInPandas(run, schema)
+            kept, due = [], -np.inf
+            for r in rows:
+                if r[at] >= due:
+                    kept.append(r)
+                    due = r[at] + fallback
+        return [(*r, i) for i, r in enumerate(kept)]
+
+    return fold_groups(samples, ["run_id"], ["t"], fold, T.StructType([*samples.schema.fields, T.StructField("frame", T.IntegerType())]))
 
 
 def survivors(hashes: Sequence[str], most: int) -> list[int]:
