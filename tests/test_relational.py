@@ -250,6 +250,22 @@ def test_mentions_meet_by_first_words(spark):
     assert got == want and len(want) > 10
 
 
+def test_terms_of_one_first_word_meet_few_texts(spark):
+    """Terms that share their first words aren't all tried on each text that holds these."""
+    from tracewright.functions.text import mention_grams, mention_key, mentions
+    from tracewright.operators import gaps
+
+    t = spark.range(200).selectExpr("'r' as run_id", "concat('Supplier  ', id) as term", "true as plural")
+    long = [("r", x, True) for x in ("the glass-door of the hall", "the glass-door of a hall", "the glass", "the glass box", "the R&D box", "supplier")]
+    t = t.unionByName(spark.createDataFrame(long, "run_id string, term string, plural boolean"))
+    x = spark.range(60).selectExpr("'r' as run_id", "cast(id as int) as i", "concat('orders go to supplier-', id * 7, if(id % 3 = 0, 's, the glass door of the halls', if(id % 3 = 1, '; the glasses, the R&D boxes, the glass', ''))) as text")
+    got = {(y.term, y.i) for y in gaps.mentioned(t, "term", x, "text").collect()}
+    want = {(y.term, y.i) for y in t.join(x, "run_id").where(mentions(F.col("term"), F.col("text"))).collect()}
+    assert got == want and {n for n, _ in want} >= {x for _, x, _ in long} - {"the glass-door of a hall", "the glass box", "supplier"}
+    keyed = x.select("i", F.explode(mention_grams(F.col("text"), F.array(F.lit("supplier")))).alias("k"))
+    assert t.withColumn("k", mention_key(F.col("term"))).join(keyed, "k").count() <= 2 * 60
+
+
 def test_near_duplicates_against_all_pairs(spark):
     r = random.Random(4)
     base = ["member name", "Loan status", "card number", "shelf-mark", "Fines", "status", "archive box"]

@@ -82,20 +82,54 @@ def mentions(term: Column, text: Column, plural: bool = True) -> Column:
     return F.coalesce(F.regexp_like(text, term_pattern(term, plural)), F.lit(False))
 
 
+#: Words that a term and a text meet by at most.
+MENTION_WORDS = 3
+
+
 def mention_key(term: Column) -> Column:
-    """What a text must hold among its ``mention_keys`` to mention the term: its first word. '' stands for any text, where
-    the term starts with no word."""
-    return F.regexp_extract(F.lower(F.trim(term)), WORD + r"^\w+(?=[\s-]|$)", 0)
+    """What a text must hold among its ``mention_grams`` to mention the term: its first words, three at most, up to one
+    that isn't all letters and digits. '' stands for any text, where the term starts with no word."""
+    first = F.regexp_extract(F.lower(F.trim(term)), WORD + rf"^\w+(?:[\s-]+\w+){{0,{MENTION_WORDS - 1}}}(?=[\s-]|$)", 0)
+    return F.regexp_replace(first, WORD + r"[\s-]+", " ")
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD + r"\w+"), F.lit(0))
+
+
+def _bare(word: Column) -> Column:
+    """The word, also without a plural ending."""
+    forms = F.array(word, F.when(word.endswith("s"), F.left(word, F.length(word) - 1)), F.when(word.endswith("es"), F.left(word, F.length(word) - 2)))
+    return F.array_compact(forms)
 
 
 def mention_keys(text: Column) -> Column:
     """The words of a text, also without a plural ending, and ''."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(WORD + r"\w+"), F.lit(0))
+    words = _words(text)
     bare = F.transform(F.filter(words, lambda w: w.endswith("s")), lambda w: F.left(w, F.length(w) - 1))
     barer = F.transform(F.filter(words, lambda w: w.endswith("es")), lambda w: F.left(w, F.length(w) - 2))
     return F.array_distinct(F.concat(words, bare, barer, F.array(F.lit(""))))
 
 
+def mention_grams(text: Column, hits: Column) -> Column:
+    """Up to three words of a text from each that is among ``hits`` on, those of ``mention_keys`` that some term starts
+    with; of each run of words the last also without a plural ending. '' if it is a hit."""
+    words = _words(text)
+
+    none = F.array().cast("array<string>")
+
+    def after(lead: Column, word: Column) -> Column:
+        return F.when(word.isNotNull(), F.transform(_bare(word), lambda x: F.concat(lead, F.lit(" "), x))).otherwise(none)
+
+    def runs(w: Column, i: Column) -> Column:
+        lead = [F.concat_ws(" ", w, *(F.get(words, i + j) for j in range(1, k))) for k in range(1, MENTION_WORDS)]
+        longer = [after(x, F.get(words, i + k + 1)) for k, x in enumerate(lead)]
+        return F.when(F.arrays_overlap(_bare(w), hits), F.concat(_bare(w), *longer)).otherwise(none)
+
+    any_text = F.when(F.array_contains(hits, ""), F.array(F.lit(""))).otherwise(none)
+    return F.array_distinct(F.concat(F.flatten(F.transform(words, runs)), any_text))
+
+
 def phrase_pattern(phrase: str) -> str:
     """For a phrase known when the plan is made: the engine compiles a literal pattern once."""
     import re

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracewright.functions.text import mention_key, mention_keys, mentions, natural_key
+from tracewright.functions.text import mention_grams, mention_key, mention_keys, mentions, natural_key
 
 # The kinds in their order, their plurals, the kinds of requirement that need no screen, and the verbs
 # that move to another screen.
@@ -46,12 +46,13 @@ def lookup_fallback(rows: DataFrame, names: DataFrame, key: str, id_col: str, na
 def mentioned(terms: DataFrame, term: str, texts: DataFrame, text: str, by: tuple[str, ...] = ("run_id",), plural: Column | None = None) -> DataFrame:
     """Rows of ``terms`` and ``texts`` (other names than those of ``by`` apart) of which the text mentions the term.
 
-    Terms meet texts by their first word: a text is joined with the first words of its run's terms, as one row, and then
-    only with the terms whose first word it holds. ``plural``: whether a plural counts."""
+    Terms meet texts by their first three words: a text is joined with the first words of its run's terms, as one row,
+    and from where it holds one on its next words are looked up, so that many terms may start with the same word.
+    ``plural``: whether a plural counts."""
     t = terms.withColumn("_key", mention_key(F.col(term)))
-    firsts = t.groupBy(*by).agg(F.collect_set("_key").alias("_firsts"))
+    firsts = t.groupBy(*by).agg(F.collect_set(F.substring_index("_key", " ", 1)).alias("_firsts"))
     x = texts.join(firsts, list(by)).withColumn("_hit", F.array_intersect(mention_keys(F.col(text)), F.col("_firsts")))
-    x = x.where(F.size("_hit") > 0).select(*texts.columns, F.explode("_hit").alias("_key"))
+    x = x.where(F.size("_hit") > 0).select(*texts.columns, F.explode(mention_grams(F.col(text), F.col("_hit"))).alias("_key"))
     said = mentions(F.col(term), F.col(text))
     if plural is not None:
         said = F.when(plural, said).otherwise(mentions(F.col(term), F.col(text), plural=False))
