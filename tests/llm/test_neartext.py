@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tracewright.llm import neartext
 
@@ -128,3 +129,29 @@ def test_alike_texts_are_compared_in_proportion(spark, monkeypatch):
     held = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "node long, h binary")
     links = neartext.block_links(many, held, 0.8).collect()
     assert {(x.u, x.v) for x in links} == {(i, 0) for i in range(1, 300)}
+
+
+def test_fingerprints_propose(spark):
+    """Texts of one fingerprint and of close ones are proposed by the operator's blocks, far ones aren't."""
+    rows = [(0, 5), (1, 5), (2, 5), (3, 5 ^ 3 << 40), (4, 5 ^ 7 << 20), (5, -5), (6, -5 ^ 1 << 62)]
+    pairs = {tuple(x) for x in neartext.fingerprint_pairs(spark.createDataFrame(rows, "node long, fp long")).select("u", "v").collect()}
+    assert pairs == {(0, 1), (0, 2), (0, 3), (5, 6)}
+
+
+def test_links_by_fingerprints_are_verified(spark, monkeypatch):
+    """Without the prefix filter only what fingerprints propose and shingles confirm is joined."""
+    r = random.Random(8)
+    words = [f"w{r.randrange(9000)}" for _ in range(4000)]
+    texts = [" ".join(words), " ".join([*words, "more"]), "other words stand here alone for once", " ".join(words[:1700])]
+    monkeypatch.setattr(neartext, "buckets", lambda texts, similarity: spark.createDataFrame([], "key long, n long, shingles long, node long, size int, at int").transform(lambda d: neartext.materialize(d, "none")))
+    assert kept(spark, texts) == {0, 2, 3}
+
+
+def test_counted_keys_are_made_once(spark):
+    """The table of keys is written before it is read three times: its plan isn't repeated."""
+    from tracewright.llm.common import join_counted
+
+    rows = spark.range(100).withColumn("key", F.col("id") % 7)
+    keys = rows.groupBy("key").agg(F.count("*").alias("n"))
+    out = join_counted(rows, keys, "key", "n", 100, most=10)
+    assert out.count() == 100 and "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()

@@ -46,6 +46,12 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Have the driver's JVM collect its garbage and hand free memory to the machine. What finished plans hold, their
+    broadcasts and shuffle files too, goes only then, and the heap grows to its limit before the JVM does so by itself."""
+    spark._jvm.System.gc()
+
+
 def text_batches(spark: SparkSession) -> None:
     """Hand texts to Python in small batches, by rows and by bytes. Spark reads these settings when a plan runs, so they
     stay lowered in the session; values that are lower already are left."""
@@ -126,7 +132,11 @@ def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, total: int
     """``rows`` joined with ``table``, which has a row for each key and in ``n`` how many of the ``total`` rows have it.
 
     Hot keys, those of more than one in ``most`` rows, are fewer than ``most``: their table rows are broadcast, so that
-    rows of a hot key stay where they are. The others meet in a shuffle; none of these is a large share of a task's."""
+    rows of a hot key stay where they are. The others meet in a shuffle; none of these is a large share of a task's.
+    ``table`` is read three times, so it is written first unless it has been: plans that repeat what makes it take a
+    thread and memory of the driver for each exchange in them."""
+    if not hasattr(table, "_table_path"):
+        table = materialize(table, "counted-keys")
     hot, other = table.where(F.col(n) * most > total).drop(n), table.where(F.col(n) * most <= total).drop(n)
     often = rows.join(F.broadcast(hot), key)
     seldom = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(other, key)

@@ -1,8 +1,9 @@
-"""Near-duplicate documents: rare shingles propose, all shingles decide.
+"""Near-duplicate documents: fingerprints and rare shingles propose, all shingles decide.
 
-Two texts are linked if the Jaccard similarity of their sets of word shingles (five words) is at least 0.8. Every such
-pair meets, by an exact prefix filter: with all shingles in one order, rarest first, two sets that are alike share one of
-the first ``prefix_size`` of each. Texts with such a shingle in common are a bucket. The pairs of small buckets are
+Two texts are linked if the Jaccard similarity of their sets of word shingles (five words) is at least 0.8. SimHash
+fingerprints of these propose first: texts of one fingerprint, and of fingerprints that pigeonhole blocks find to differ in
+at most two bits. The pairs that fingerprints can't promise come by an exact prefix filter, so that every pair of 0.8
+meets: with all shingles in one order, rarest first, two sets that are alike share one of the first ``prefix_size`` of each. Texts with such a shingle in common are a bucket. The pairs of small buckets are
 checked one by one; in large buckets all pairs are counted chunk by chunk, and what comes out is a spanning forest of
 links that are verified, which joins what all links join. In blocks of many chunks, texts are compared with a few leaders first; those that are alike to one leader
 are joined by it and aren't compared with each other. Nothing is capped or left to chance; the order is estimated on a
@@ -22,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.llm.common import components, discard, join_counted, materialize, text_batches, tidied, tidy
+from tracewright.llm import simhash
+from tracewright.llm.common import components, discard, give_back, join_counted, materialize, text_batches, tidied, tidy
 from tracewright.llm.simhash import shingle_hashes
 
 #: Buckets up to this size are joined as rows.
@@ -104,6 +106,18 @@ def verified_links(sets: list[np.ndarray], similarity: float) -> tuple[np.ndarra
     return np.concatenate(p), np.concatenate(q)
 
 
+def fingerprint_pairs(texts: DataFrame) -> DataFrame:
+    """``u, v`` (u < v) out of ``node, fp``: each text with the first of its fingerprint, and the firsts of fingerprints that
+    are linked by ``simhash.links``."""
+    firsts = materialize(texts.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "fingerprints")
+    same = join_counted(texts.select("fp", "node"), firsts, "fp", "n", texts.count()).where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    near = materialize(simhash.links(firsts.select("fp")), "near-fingerprints")
+    near = near.join(firsts.select(F.col("fp").alias("src"), F.col("first").alias("a")), "src").join(firsts.select(F.col("fp").alias("dst"), F.col("first").alias("b")), "dst")
+    out = materialize(same.unionByName(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v"))).distinct(), "proposed")
+    discard(firsts)
+    return out
+
+
 def buckets(texts: DataFrame, similarity: float) -> DataFrame:
     """``key, n, shingles, node, size, at`` out of ``node, size, prefix``: texts with a shingle of their prefixes in common,
     how many they are and how many shingles they have in all; ``at`` is its place in the prefix.
@@ -152,7 +166,7 @@ def alike(pairs: DataFrame, sets: DataFrame, similarity: float, total: int | Non
     if total is None:
         held = held.join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v")
     else:
-        often = pairs.groupBy("v").agg(F.count("*").alias("n"))
+        often = materialize(pairs.groupBy("v").agg(F.count("*").alias("n")), "often")
         held = join_counted(held, often.join(sets.select(F.col("node").alias("v"), F.col("h").alias("b")), "v"), "v", "n", total, most=100)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,10 +198,11 @@ def block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFram
         return one
     links, led = [one], []
     for _ in range(LEADERS):
-        first = rest.groupBy("block").agg(F.min("node").alias("leader"), F.count("*").alias("n"))
+        first = materialize(rest.groupBy("block").agg(F.min("node").alias("leader"), F.count("*").alias("n")), "leaders")
         total = rest.count()
         asked = join_counted(rest, first, "block", "n", total).where("node <> leader")
-        found = materialize(alike(asked.select(F.col("node").alias("u"), F.col("leader").alias("v"), "block"), sets, similarity, total), "led")
+        asked = materialize(asked.select(F.col("node").alias("u"), F.col("leader").alias("v"), "block"), "with-leader")
+        found = materialize(alike(asked, sets, similarity, total), "led")
         links.append(found.select("u", "v"))
         led.append(found.select("block", F.col("v").alias("leader"), F.col("u").alias("node")).unionByName(first.select("block", "leader", F.col("leader").alias("node"))))
         led[-1] = materialize(led[-1], "led")
@@ -203,9 +218,8 @@ def block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     every = every.select("block", "node", "leader").unionByName(rest.select("block", "node", F.lit(None).cast("long").alias("leader")))
     every = join_counted(every, most, "block", "n", every.count()).select("block", "node", F.coalesce(F.col("leader") == F.col("best"), F.lit(False)).alias("core"))
     every = materialize(every, "core")
-    part = lambda c: F.ceil(F.greatest(F.count(F.when(c, 1)) / CHUNK, F.sum(F.when(c, F.octet_length("h") / 4).otherwise(0)) / CHUNK_SHINGLES)).cast("int")
-    every = every.join(sets, "node")
-    parts = every.groupBy("block").agg(part(F.col("core")).alias("cores"), part(~F.col("core")).alias("others"), F.count("*").alias("n")).where("others > 0")
+    part = lambda c: F.ceil(F.greatest(F.count(F.when(c, 1)) / CHUNK, F.sum(F.when(c, F.col("size")).otherwise(0)) / CHUNK_SHINGLES)).cast("int")
+    parts = every.join(sets.select("node", (F.octet_length("h") / 4).alias("size")), "node").groupBy("block").agg(part(F.col("core")).alias("cores"), part(~F.col("core")).alias("others"), F.count("*").alias("n")).where("others > 0")
     every = join_counted(every, materialize(parts, "parts"), "block", "n", every.count())
     chunks = F.when(F.col("core"), F.col("cores")).otherwise(F.col("others"))
     every = every.withColumn("own", F.pmod(F.xxhash64("node"), chunks.cast("long")).cast("int"))
@@ -217,7 +231,7 @@ def block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFram
     to = F.when(F.col("core"), F.transform(upto(F.col("others")), lambda x: pair(x, own, True))).otherwise(
         F.concat(F.transform(alone, lambda x: pair(own, x, False)), F.transform(upto(F.col("cores")), lambda x: pair(own, x, True)))
     )
-    dealt = every.select("block", "node", "h", F.explode(to).alias("t")).select("block", "node", "h", "t.*")
+    dealt = every.join(sets, "node").select("block", "node", "h", F.explode(to).alias("t")).select("block", "node", "h", "t.*")
     links.append(dealt.groupBy("block", "i", "j", "with_core").applyInPandas(compare, "u long, v long"))
     out = links[0]
     for x in links[1:]:
@@ -255,6 +269,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     """``id, digest, n, component, kept`` for each (id, text) of ``docs``: how many rows it has, the least id of its
     group, and whether it is the row that stands for the group."""
     spark = docs.sparkSession
+    give_back(spark)
     text_batches(spark)
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("text"))
@@ -266,22 +281,30 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [shingle_set(t.as_py(), words) for t in b.column("text")]
+            fps, sets = [], []
+            for t in b.column("text"):
+                h = shingle_hashes(t.as_py(), words)
+                fps.append(simhash.fingerprint(h))
+                sets.append(np.unique(h))
+            fp = pa.array(np.array(fps, dtype=np.uint64).view(np.int64), pa.int64())
             size = pa.array([len(h) for h in sets], pa.int32())
             first = pa.array([prefix(h, *common.value, similarity).view(np.int64) for h in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), size, first], ["id", "digest", "size", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("digest"), fp, size, first], ["id", "digest", "fp", "size", "prefix"])
 
-    found = materialize(rows.mapInArrow(tidied(prefixes), f"id {kind}, digest string, size int, prefix array<long>"), "prefixes")
+    found = materialize(rows.mapInArrow(tidied(prefixes), f"id {kind}, digest string, fp long, size int, prefix array<long>"), "prefixes")
     counted = materialize(found.groupBy("id", "digest").agg(F.count("*").alias("n")), "counted")
-    texts = found.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
+    texts = found.groupBy("digest").agg(F.min("id").alias("id"), F.any_value("fp").alias("fp"), F.any_value("size").alias("size"), F.any_value("prefix").alias("prefix"))
     # Numbers are given once and written; what follows reads them from there.
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     discard(found)
+    give_back(spark)
+    proposed = fingerprint_pairs(texts)
     keyed = buckets(texts, similarity)
-    pairs, many = materialize(small_pairs(keyed, similarity), "pairs"), blocks(keyed)
+    pairs, many = materialize(small_pairs(keyed, similarity).join(proposed, ["u", "v"], "left_anti"), "pairs"), blocks(keyed)
     discard(keyed)
+    give_back(spark)
 
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).unionByName(many.select("node")).distinct().join(texts.select("node", "id", "digest"), "node")
+    asked = pairs.unionByName(proposed).select(F.explode(F.array("u", "v")).alias("node")).unionByName(many.select("node")).distinct().join(texts.select("node", "id", "digest"), "node")
     asked = materialize(asked.withColumnRenamed("id", "first"), "asked")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -292,10 +315,13 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = rows.join(_small(asked), "digest").where(F.col("id").eqNullSafe(F.col("first")))
     sets = sets.select("node", "text").mapInArrow(tidied(shingles), "node long, h binary")
     sets = materialize(sets.groupBy("node").agg(F.any_value("h").alias("h")), "shingles")
-    links = materialize(alike(pairs, sets, similarity).unionByName(block_links(many, sets, similarity)), "near")
-    discard(pairs, many, asked, sets)
+    links = materialize(alike(proposed.select(F.col("v").alias("u"), F.col("u").alias("v")), sets, similarity, proposed.count()), "by-fingerprint")
+    links = links.unionByName(materialize(alike(pairs, sets, similarity), "by-prefix"))
+    links = materialize(links.unionByName(block_links(many, sets, similarity)), "near")
+    discard(proposed, pairs, many, asked, sets)
+    give_back(spark)
 
-    roots = components(links, "u", "v")
+    roots = materialize(components(links, "u", "v"), "roots")
     named = texts.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min_by(F.struct("id", "digest"), F.struct(F.col("id").isNull(), "id", "digest")).alias("least")
     linked = materialize(named.join(roots.select("node"), "node", "left_semi"), "linked")
@@ -304,6 +330,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     alone = named.join(roots.select("node"), "node", "left_anti").select("digest", F.struct("id", "digest").alias("least"))
     named = materialize(linked.unionByName(alone), "named")
     discard(texts, links)
+    give_back(spark)
     copies = counted.groupBy("digest").agg(F.count("*").alias("ids"))
     out = join_counted(counted, named.join(copies, "digest"), "digest", "ids", counted.count())
     kept = F.col("id").eqNullSafe(F.col("least.id")) & (F.col("digest") == F.col("least.digest"))
