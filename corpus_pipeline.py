@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import neartext, packing, pii, quality, toxicity
-from tracewright.llm.common import documents, materialize
+from tracewright.llm.common import documents, give_back, materialize
 
 
 def set_aside(docs: DataFrame) -> DataFrame:
@@ -29,6 +29,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier calls toxic go. Empty text has the score of the bias; it stays unless most text is
     toxic. Ties at 0.5 go. Without labels all stay."""
     model = toxicity.train(docs, documents(spark, sf_dir, "labels"))
+    give_back(spark)
     return brought_back(toxicity.score(set_aside(docs), model).where("score < 0.5"), docs.columns)
 
 
@@ -36,6 +37,7 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are more likely of the lowest grade than of a higher one go. Ties at 0.5 stay, and without ratings
     all do."""
     model = quality.train(docs, quality.grades(documents(spark, sf_dir, "labels")))
+    give_back(spark)
     return brought_back(quality.rate(set_aside(docs), model, grade=1).where("tail_probability >= 0.5"), docs.columns)
 
 
@@ -47,6 +49,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Spans of personal data give way to their kind; n_chars, where there is one, follows the text. Null text stays."""
+    give_back(spark)
     out = pii.find(set_aside(docs)).withColumn("text", pii.masked())
     found = F.size("spans") > 0
     out = brought_back(out.withColumn("row", F.struct("row.*", found.alias("__found"))), [*docs.columns, "__found"])
@@ -58,6 +61,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, with their ids; an empty text is its end id."""
+    give_back(spark)
     return packing.pack(docs)
 
 

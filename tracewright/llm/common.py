@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,9 +49,29 @@ def discard(*tables: DataFrame) -> None:
 
 
 def give_back(spark: SparkSession) -> None:
-    """Have the driver's JVM collect its garbage and hand free memory to the machine. What finished plans hold, their
-    broadcasts and shuffle files too, goes only then, and the heap grows to its limit before the JVM does so by itself."""
+    """Have the driver, its JVM and its Python, collect garbage and hand free memory to the machine. What finished plans
+    hold, their broadcasts and shuffle files too, goes only then, and the heap grows to its limit before the JVM does so by
+    itself. Beside the heap, hundreds of threads that plan and compile leave freed memory in their parts of malloc."""
+    gc.collect()
+    tidy()
     spark._jvm.System.gc()
+    try:
+        _trim(spark)
+    except (Py4JError, TypeError):
+        pass  # not every JVM has the command
+
+
+def _trim(spark: SparkSession) -> None:
+    """The JVM's ``System.trim_native_heap``. By reflection, for the server's own class is closed to Py4J."""
+    jvm, new = spark._jvm, spark.sparkContext._gateway.new_array
+    of = jvm.java.lang.Class.forName
+    kinds = [of(c) for c in ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")]
+    args = [jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap", new(jvm.Object, 0), new(jvm.String, 0)]
+    types, values = new(jvm.java.lang.Class, 4), new(jvm.Object, 4)
+    for i in range(4):
+        types[i], values[i] = kinds[i], args[i]
+    server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+    of("javax.management.MBeanServer").getMethod("invoke", types).invoke(server, values)
 
 
 def text_batches(spark: SparkSession) -> None:

@@ -208,6 +208,7 @@ def block_links(many: DataFrame, sets: DataFrame, similarity: float) -> DataFram
         led[-1] = materialize(led[-1], "led")
         left = materialize(rest.join(led[-1], ["block", "node"], "left_anti"), "rest")
         rest = left
+        give_back(rest.sparkSession)
         if rest.isEmpty():
             break
     # The texts of the leader that has most are joined already: only the others are compared, with each other and these.
@@ -297,10 +298,14 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     # Numbers are given once and written; what follows reads them from there.
     texts = materialize(texts.withColumn("node", F.monotonically_increasing_id()), "texts")
     discard(found)
+    common.destroy()
     give_back(spark)
     proposed = fingerprint_pairs(texts)
+    give_back(spark)
     keyed = buckets(texts, similarity)
-    pairs, many = materialize(small_pairs(keyed, similarity).join(proposed, ["u", "v"], "left_anti"), "pairs"), blocks(keyed)
+    pairs = materialize(small_pairs(keyed, similarity).join(proposed, ["u", "v"], "left_anti"), "pairs")
+    give_back(spark)
+    many = blocks(keyed)
     discard(keyed)
     give_back(spark)
 
@@ -315,13 +320,16 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", word
     sets = rows.join(_small(asked), "digest").where(F.col("id").eqNullSafe(F.col("first")))
     sets = sets.select("node", "text").mapInArrow(tidied(shingles), "node long, h binary")
     sets = materialize(sets.groupBy("node").agg(F.any_value("h").alias("h")), "shingles")
+    give_back(spark)
     links = materialize(alike(proposed.select(F.col("v").alias("u"), F.col("u").alias("v")), sets, similarity, proposed.count()), "by-fingerprint")
     links = links.unionByName(materialize(alike(pairs, sets, similarity), "by-prefix"))
+    give_back(spark)
     links = materialize(links.unionByName(block_links(many, sets, similarity)), "near")
     discard(proposed, pairs, many, asked, sets)
     give_back(spark)
 
     roots = materialize(components(links, "u", "v"), "roots")
+    give_back(spark)
     named = texts.select("node", "digest", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = F.min_by(F.struct("id", "digest"), F.struct(F.col("id").isNull(), "id", "digest")).alias("least")
     linked = materialize(named.join(roots.select("node"), "node", "left_semi"), "linked")

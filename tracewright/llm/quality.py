@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import text_batches, tidied
-from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, style_of
+from tracewright.llm.hashed import BUCKETS, Adam, Rows, lists, sigmoid, style_of
 from tracewright.llm.toxicity import held_out, picked
 
 #: Ratings that the model is fitted on at most, picked by a hash of their id.
@@ -111,9 +111,7 @@ def train(docs: DataFrame, ratings: DataFrame, id_col: str = "doc_id", text_col:
     found = rows.mapInArrow(tidied(features), f"id {rows.schema['id'].dataType.simpleString()}, grade int, idx array<int>, val array<float>")
     # However often an id is repeated, one text of it counts.
     got = found.groupBy("id", "grade").agg(F.min(F.struct("idx", "val")).alias("f")).select("grade", "f.*").toArrow()
-    idx = [np.array(x, dtype=np.int32) for x in got.column("idx").to_pylist()]
-    val = [np.array(x, dtype=np.float32) for x in got.column("val").to_pylist()]
-    return fit_rows(Rows(idx, val), np.array(got.column("grade").to_pylist(), dtype=np.int64))
+    return fit_rows(Rows(lists(got.column("idx")), lists(got.column("val"))), np.array(got.column("grade").to_pylist(), dtype=np.int64))
 
 
 def rate(docs: DataFrame, model: Model, grade: int, text_col: str = "text", out: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:

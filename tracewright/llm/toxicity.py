@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracewright.llm.common import text_batches, tidied
-from tracewright.llm.hashed import BUCKETS, Adam, Rows, sigmoid, words_of
+from tracewright.llm.hashed import BUCKETS, Adam, Rows, lists, sigmoid, words_of
 
 #: Examples that the classifier is fitted on at most, picked by a hash of their id.
 POSITIVES = 4_000
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # However often an id is repeated, one text of it counts.
     got = found.groupBy("id", "toxic").agg(F.min("f").alias("f")).toArrow()
     flags = got.column("toxic").to_pylist()
-    found = [np.array(f, dtype=np.int32) for f in got.column("f").to_pylist()]
+    found = lists(got.column("f"))
     pick = lambda flag: [f for f, t in zip(found, flags, strict=True) if t is flag]
     return fit_rows(pick(True), pick(False), PRIOR if prior is None else prior)
 
